@@ -69,7 +69,7 @@ def _seeds(least: int, k: int):
 
 
 def _windows(least: int, k: int):
-    """Hashes of the windows of ``least`` characters whose own anchor is an open seed and that no closed seed covers."""
+    """Hashes of the windows of ``least`` characters whose own anchor is one of the given seeds."""
     w = least - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,12 +80,8 @@ def _windows(least: int, k: int):
                 own = winnow._sliding(grams, w, np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF))
                 wanted = np.zeros(len(own), dtype=bool)
                 for s in seeds:
-                    if s["open"]:
-                        wanted[max(s["p0"] + k - least, 0) : s["p1"] + 1] = True
-                for s in seeds:
-                    if not s["open"]:
-                        wanted[max(s["p0"] + k - least, 0) : s["p1"] + 1] = False
-                hashes = np.array([s["h"] for s in seeds if s["open"]], dtype=np.int64).view(np.uint64)
+                    wanted[max(s["p0"] + k - least, 0) : s["p1"] + 1] = True
+                hashes = np.array([s["h"] for s in seeds], dtype=np.int64).view(np.uint64)
                 at = np.flatnonzero(wanted & np.isin(own, hashes))
                 if len(at):
                     yield pa.RecordBatch.from_arrays(
@@ -118,9 +114,9 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int =
     1. Each text of min_length or more gives its winnowed anchors, each with the hash of its whole context (all
        windows of min_length that hold it). 2. Anchors held by two different texts are seeds (least and greatest
        digest per anchor, so a hot anchor costs one row per task). 3. A seed whose whole context also stands in
-       another text is closed: all its windows are shared. 4. Only the windows around the other seeds are hashed one
-       by one, each by the anchor that the window itself chooses, and matched the same way. No step lists the texts
-       of an anchor together or pairs them.
+       another text is closed: all its windows are shared. 4. Only around the other, open seeds are windows hashed one
+       by one, each by the anchor that the window itself chooses, and matched the same way; of each closed context
+       with such an anchor two texts take part. No step lists the texts of an anchor together or pairs them.
     """
     if not 8 <= anchor <= min_length:
         raise ValueError("the anchor must have 8 to min_length characters")
@@ -135,12 +131,16 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int =
     near = seeds.join(_in_two(seeds, "h"), "h", "left_semi")
     one_per_text = near.join(texts.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
     near = written(one_per_text, "near")
-    closed = _in_two(near, "h", "c").withColumn("closed", F.lit(True))
-    state = near.join(closed, ["h", "c"], "left").withColumn("open", F.col("closed").isNull()).drop("closed")
-    state = written(state, "state")
-    per_text = state.groupBy("id", "digest").agg(
-        F.collect_list(F.struct("h", "p0", "p1", "open")).alias("seeds"), F.max("open").alias("any_open")
-    ).where("any_open").select("id", "digest", "seeds")
+    contexts = near.groupBy("h", "c").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    state = written(near.join(contexts, ["h", "c"]).withColumn("open", F.col("lo") == F.col("hi")), "state")
+    # a closed context may be what an open seed matches: two of its texts stand for it where its anchor has an open seed
+    stands = F.col("open") | F.col("digest").isin(F.col("lo"), F.col("hi"))
+    per_text = (
+        state.where(stands)
+        .join(state.where("open").select("h").distinct(), "h", "left_semi")
+        .groupBy("id", "digest")
+        .agg(F.collect_list(F.struct("h", "p0", "p1")).alias("seeds"))
+    )
     # one text per id even where an id repeats with other text: the digest settles which row was meant
     again = per_text.join(src, "id").select("digest", "seeds", "text")
     wins = written(again.mapInArrow(_windows(min_length, anchor), "digest long, wh long, start int"), "windows")
