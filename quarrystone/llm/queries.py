@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.llm.neardup import NearDuplicates, near_duplicates
 from quarrystone.llm.spans import shared_share, shared_spans
 from quarrystone.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _similar_sections(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    return near_duplicates(table(spark, sf_dir, "sections"), "section_key", "text", words=3, threshold=0.6, least_words=60)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _similar_sections(spark, sf_dir).pairs()
+    return pairs.select(F.col("a").alias("section_key_a"), F.col("b").alias("section_key_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similar_sections(spark, sf_dir).groups().withColumnRenamed("id", "section_key")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
     return spans.select(F.col("id").alias("doc_id")).distinct()
@@ -22,5 +36,5 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p8_found": p8_found, "p8_shared_share": p8_shared_share}
+QUERIES: dict[str, Query] = {"p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
 SQL: dict[str, str] = {}
