@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,20 +82,24 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
+@lru_cache(maxsize=8)
+def _permutations(width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    a = rng.integers(1, 1 << 32, width, dtype=np.uint32) | np.uint32(1)
+    return a[:, None], rng.integers(0, 1 << 32, width, dtype=np.uint32)[:, None]
+
+
 def minhash(shingles: np.ndarray, fp: Fingerprint) -> np.ndarray:
-    rng = np.random.default_rng(fp.seed)
-    a = rng.integers(1, 1 << 32, fp.width, dtype=np.uint32) | np.uint32(1)
-    b = rng.integers(0, 1 << 32, fp.width, dtype=np.uint32)
-    low = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    high = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.empty(fp.width, dtype=np.uint16)
-    for i in range(fp.width):
-        v = (low ^ (high * b[i] | np.uint32(1))) * a[i]
+    """The least value of each permutation, folded to 16 bits; blocks of shingles keep the work in the cache."""
+    a, b = _permutations(fp.width, fp.seed)
+    folded = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    least = np.full(fp.width, 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(0, len(folded), 512):
+        v = (folded[None, i : i + 512] ^ b) * a
         v ^= v >> np.uint32(15)
         v *= np.uint32(0x2C1B3C6D)
-        m = v.min()
-        out[i] = (m ^ (m >> np.uint32(16))) & np.uint32(0xFFFF)
-    return out
+        np.minimum(least, v.min(axis=1), out=least)
+    return ((least ^ (least >> np.uint32(16))) & np.uint32(0xFFFF)).astype(np.uint16)
 
 
 def _fingerprints(size: int, least_words: int, fp: Fingerprint):

@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm.neardup import NearDuplicates, near_duplicates
+from quarrystone.llm.quality import text_verdicts
 from quarrystone.llm.spans import shared_share, shared_spans
 from quarrystone.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = text_verdicts(table(spark, sf_dir, "sections"), "section_key", "text", statistics=False)
+    return verdicts.where("n_chars >= 200 and verdict <> 'prose'").select("section_key", F.col("verdict").alias("text_class"))
+
+
+def p2_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_verdicts(table(spark, sf_dir, "sections"), "section_key", "text")
+
+
 def _similar_sections(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     return near_duplicates(table(spark, sf_dir, "sections"), "section_key", "text", words=3, threshold=0.6, least_words=60)
 
@@ -36,5 +46,5 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
 SQL: dict[str, str] = {}
