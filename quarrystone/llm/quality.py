@@ -26,23 +26,25 @@ _COMMON = sorted(set(COMMON_WORDS.split()))
 _FIGURE = r"[\(\-–−]?[$€£]?\d[\d.,]*\)?%?"
 #: Kinds of line, first match decides. Patterns are plain regular expressions that Java and Python read alike.
 LINE_KINDS: tuple[tuple[str, str], ...] = (
-    ("blank", r"^[\s ]*$"),
+    ("blank", r"^[\s]*$"),
     ("rule", r"^[^\p{L}\p{N}|]*[^\p{L}\p{N}\s|().,;:—–\-]{4}[^\p{L}]*$|^\s*(?:\.{6,}|(?:-\+){3,}|(?:\|/){3,}|-{8,})[^\p{L}]*$"),
     ("furniture", r"(?i)^\s*(?:page|index|table of contents|back to top|continued|page \d+(?: of \d+)?)\s*$"),
     ("markup", r"[{}]|</?[a-z]+[^>]*>|^\S*ctx_|Axis:|xmlns|&[a-z]+;"),
     ("unbroken", r"\S{45}"),
     ("noise", r"(?:[�€ƒ™¢©¿ÃÂœ½ï][^�€ƒ™¢©¿ÃÂœ½ï]{0,6}){6}|(?:%%|[~#])(?:[^~#%]{0,40}(?:%%|[~#])){3}"),
-    ("grid", r"^\s*\||(?:[\t;]|[  ]{2,})(?:" + _FIGURE + r"|[—–-])\s*(?:[\t;]|[  ]{2,})(?:" + _FIGURE + r"|[—–-])"),
+    ("grid", r"^\s*\||(?:[\t;]|[ ]{2,})(?:" + _FIGURE + r"|[—–-])\s*(?:[\t;]|[ ]{2,})(?:" + _FIGURE + r"|[—–-])"),
     ("figure", r"^\s*(?:" + _FIGURE + r"|[—–-])\s*$"),
     ("entry", r"(?i)^\s*(?:[-•▪◦●·*–—]\s|\(?[a-z]{1,2}\)\s|\(?\d{1,3}[.)]\s|\(?[ivx]{1,5}[.)]\s|exhibit\s+\d)"),
-    ("short", r"^\s*\p{L}(?:.{0,68}[^\s.,;:!?])?\s*$"),
+    ("short", r"^\s*\p{Lu}(?:[^.,;:!?]{0,78}[^\s.,;:!?])?\s*$"),
 )
 
 JUNK_KINDS = ("rule", "furniture", "markup", "unbroken", "noise", "repeat")
 
 
 def _tidy(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\n?|[\u0085  \u000b\u000c]", "\n")
+    """Line ends as one new line, no-break spaces as spaces."""
+    lines = F.regexp_replace(text, "\r\n?|[\u0085\u2028\u2029\u000b\u000c]", "\n")
+    return F.regexp_replace(lines, "[\u00a0\u2007\u202f\u3000]", " ")
 
 
 def _line_kind(line: Column) -> Column:
@@ -88,8 +90,8 @@ def text_statistics(docs: DataFrame, id_col: str, text_col: str, only: set[str]
         "alpha_words": count(r"\p{L}+"),
         "letters": kept(r"[^\p{L}]+"),
         "digits": kept(r"[^\p{Nd}]+"),
-        "symbols": kept(r"[\p{L}\p{N}\s ]+"),
-        "seen": F.col("__n") - kept(r"[^\s ]+"),
+        "symbols": kept(r"[\p{L}\p{N}\s]+"),
+        "seen": F.col("__n") - kept(r"[^\s]+"),
         "common": count(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(_COMMON) + r")(?![\p{L}\p{N}])"),
         "ended": count(r"(?m)[.!?:;][\"'”»)\]]*[ \t]*$"),
         "sum": F.aggregate("__k", F.lit(0), lambda acc, x: acc + x["n"]),
@@ -135,7 +137,7 @@ def label_of(text: str) -> str:
     Goes block by block with the neighbourhood of each line, which the features do not see: a label above figures is
     table, a run of short entries is list, a short line within prose is prose.
     """
-    lines = [l for l in re.split(r"\r\n?|[\n\u0085  \u000b\u000c]", text) if l.strip()]
+    lines = [l for l in re.split(r"\r\n?|[\n\u0085\u2028\u2029\u000b\u000c]", text) if l.strip()]
     kinds: list[str] = []
     for line in lines:
         s = line.strip()
@@ -152,13 +154,12 @@ def label_of(text: str) -> str:
             kinds.append("junk")
         elif len(words) > 18 and len(set(words)) < len(words) / 6:
             kinds.append("junk")
-        elif s.startswith("|") or len(re.findall(r"(?:[\t;|]|[  ]{2,})\s*\(?[\d—–-][\d,.]*\)?%?(?=\s|;|\||$)", line)) >= 2:
+        elif s.startswith("|") or len(re.findall(r"(?:[\t;|]|[ ]{2,})\s*\(?[\d—–-][\d,.]*\)?%?(?=\s|;|\||$)", line)) >= 2:
             kinds.append("table")
         elif re.match(r"(?i)([-•▪◦●·*–—]\s|\(?[a-z]{1,2}\)\s|\(?\d{1,3}[.)]\s|exhibit\s+\d)", s):
             kinds.append("entry")
-        elif len(s) <= 75 and not re.search(r"[.,;:!?]$", s):
-            common = sum(w in _COMMON_SET for w in words) / max(1, len(words))
-            kinds.append("short" if common <= 0.4 else "prose")
+        elif len(s) <= 80 and s[0].isupper() and not re.search(r"[.,;:!?]", s):
+            kinds.append("short")
         else:
             kinds.append("prose")
     size = {"table": 0, "list": 0, "junk": 0, "prose": 0}
@@ -183,9 +184,6 @@ def label_of(text: str) -> str:
     return max(size, key=lambda k: (size[k], k == "prose")) if lines else "junk"
 
 
-_COMMON_SET = frozenset(_COMMON)
-
-
 def learn_rules(docs: DataFrame, id_col: str, text_col: str, sample_rows: int = 3000, least_chars: int = 200) -> RuleList:
     """Rules fitted on about ``sample_rows`` rows (never more than twice as many) chosen by the hash of their id.
 
