@@ -10,11 +10,23 @@ from pyspark.sql import functions as F
 from quarrystone.llm.neardup import NearDuplicates, near_duplicates
 from quarrystone.llm.quality import text_verdicts
 from quarrystone.llm.spans import shared_share, shared_spans
+from quarrystone.llm.splitting import split_oversized
 from quarrystone.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = table(spark, sf_dir, "sections").where(F.length("text") > 1800)
+    passages = split_oversized(sections, "section_key", "text", 1800, 300)
+    hard = F.max((F.col("boundary") == "hard").cast("int")) == 1
+    return passages.groupBy(F.col("id").alias("section_key")).agg(F.when(hard, "hard").otherwise("boundary").alias("cut"))
+
+
+def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "sections"), "section_key", "text", 1800, 300).withColumnRenamed("id", "section_key")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = text_verdicts(table(spark, sf_dir, "sections"), "section_key", "text", statistics=False)
     return verdicts.where("n_chars >= 200 and verdict <> 'prose'").select("section_key", F.col("verdict").alias("text_class"))
@@ -46,5 +58,5 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
 SQL: dict[str, str] = {}
