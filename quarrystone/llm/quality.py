@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.functions.barrier import computed_once
 from quarrystone.llm.rules import RuleList, induce
 
 #: Common words of English, German, French and Spanish.
@@ -59,12 +60,6 @@ def _line_kind(line: Column) -> Column:
     return F.coalesce(out, found.otherwise("plain"))
 
 
-def _once(df: DataFrame, keep: str, columns: dict[str, Column]) -> DataFrame:
-    """Columns computed once per row: through a generator, so that no later filter copies their expressions below itself."""
-    row = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__row")
-    return df.select(keep, row).select(keep, "__row.*")
-
-
 def text_statistics(docs: DataFrame, id_col: str, text_col: str, only: set[str] | None = None) -> DataFrame:
     """One row per row of docs: counts and shares that describe the words, symbols and lines of the text.
 
@@ -120,7 +115,7 @@ def text_statistics(docs: DataFrame, id_col: str, text_col: str, only: set[str]
     wanted = [n for n in ratios if only is None or n in only]
     whole = [n for n in ("n_chars", "n_words", "n_lines") if only is None or n in only]
     needed = {*whole, *(x for n in wanted for x in ratios[n])}
-    counted = _once(base, id_col, {f"__{n}": c for n, c in counts.items() if n in needed})
+    counted = computed_once(base, [id_col], {f"__{n}": c for n, c in counts.items() if n in needed})
     share = lambda a, b: F.when(F.col(f"__{b}") > 0, F.round(F.col(f"__{a}") / F.col(f"__{b}"), 6)).otherwise(F.lit(0.0))
     return counted.select(id_col, *[F.col(f"__{n}").alias(n) for n in whole], *[share(*ratios[n]).alias(n) for n in wanted])
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm.neardup import NearDuplicates, near_duplicates
+from quarrystone.llm.pairs import broken_pairs, generation_pairs, question_pairs
 from quarrystone.llm.quality import text_verdicts
 from quarrystone.llm.spans import shared_share, shared_spans
 from quarrystone.llm.splitting import split_oversized
@@ -36,6 +37,20 @@ def p2_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_verdicts(table(spark, sf_dir, "sections"), "section_key", "text")
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, generations = table(spark, sf_dir, "test_questions"), table(spark, sf_dir, "generations")
+    return broken_pairs(question_pairs(questions).unionByName(generation_pairs(generations, questions)))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).where("defect is not null").select("pair_table", "pair_id", "defect")
+
+
+def p3_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every triggered defect of every pair."""
+    return _pairs(spark, sf_dir).select("pair_table", "pair_id", F.explode("defects").alias("defect"))
+
+
 def _similar_sections(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     return near_duplicates(table(spark, sf_dir, "sections"), "section_key", "text", words=3, threshold=0.6, least_words=60)
 
@@ -58,5 +73,5 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p3_found": p3_found, "p3_defects": p3_defects, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
 SQL: dict[str, str] = {}
