@@ -57,9 +57,14 @@ FRAMES = (
 
 #: Frequent words that belong to one of the languages.
 LANGUAGE_WORDS = {
-    "en": "the of and is was were are by for from with that which this these those their our its have has had would could what how did does why name amounted reported be been not they there it we as at to an if such some other most all any",
+    "en": "in on but since although whereas while until unless against came earlier several certain beyond within alongside despite under after before once all both its year million billion i you my this try asking the of and is was were are by for from with that which this these those their our its have has had would could what how did does why name amounted reported be been not they there it we as at to an if such some other most all any",
     "de": "der die das den dem des und ist sind war waren bei nach mit von für im auf eine einer eines einem nicht dass weil da sodass wohingegen zugleich wurde wir welche wie hoch nennt zu zum zur über unter aus durch obwohl bevor nachdem während sich beeinflusste übertraf stärkte verringerte erhöhte",
     "fr": "le la les des du et est sont chez dans pour par avec sur une que qui ce cette ces nous au aux leur après avant parce puisque alors tandis quel quels quelle était montant elle sujet a de en un d'euros exercice",
+    "it": "il lo gli la le dei della delle del di da in con su per tra che non sono stato stata ha hanno è una un uno si come più al alla sul nel nella secondo anno costi milioni",
+    "pt": "o os a as do da dos das de em no na nos nas um uma e que não são foi ao à pelo pela para por com mais segundo ano sobre milhões é",
+    "nl": "de het een van en in op dat die voor met zijn niet aan te bij naar uit om tot door wordt werd volgens ook deze haar jaar miljoen heeft",
+    "sv": "och att det som en ett på är av för med inte den till har de om vi från kr bolaget enligt året",
+    "pl": "i w na z nie do że się jest to o za od przez oraz dla był była roku spółka według",
     "es": "el la los las del y es son en con por para una que se su sus ante cual cuál fue qué menciona ya aunque porque desde mientras según sobre de un modo si bien puesto cifra ejercicio euros millones",
 }
 
@@ -69,18 +74,29 @@ def _known(words: Column, listed: str) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*known)))
 
 
-def language(text: Column) -> Column:
-    """en, de, fr or es where two words more, and half as many again, speak for it than for the next; else null."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}']+", " "), F.lit(" "))
-    words = F.split(padded, " ")
-    scores = {lang: _known(words, listed) for lang, listed in LANGUAGE_WORDS.items()}
-    # accents and letters of one language
-    marks = {"de": r"[äöüß]", "fr": r"[çœêèùâîôû]|\b[ld]'", "es": r"[ñ¿¡]|[óáíú]", "en": r"\bof the\b"}
-    total = {k: v + F.least(F.regexp_count(padded, F.lit(marks[k])), F.lit(2)) for k, v in scores.items()}
-    best = F.greatest(*total.values())
-    second = F.array_sort(F.array(*total.values()))[2]
-    named = F.coalesce(*[F.when(v == best, F.lit(k)) for k, v in total.items()])
-    return F.when((best - second >= 2) & (best >= second * 1.5), named)
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}']+", " "), " "), lambda w: w != "")
+
+
+def language_scores(text: Column) -> Column:
+    """Struct of the words of each language in the text and of all its words, n."""
+    words = _words(text)
+    return F.struct(*[_known(words, listed).alias(k) for k, listed in LANGUAGE_WORDS.items()], F.size(words).alias("n"))
+
+
+def _language(scores: str) -> Column:
+    """The language with the most words, null on a tie or without any."""
+    ranked = F.array_sort(F.array(*[F.struct(F.col(f"{scores}.{k}").alias("s"), F.lit(k).alias("k")) for k in LANGUAGE_WORDS]))
+    top, next_ = ranked[len(LANGUAGE_WORDS) - 1], ranked[len(LANGUAGE_WORDS) - 2]
+    return F.when(top["s"] > next_["s"], top["k"])
+
+
+def _foreign(asked: Column, scores: str) -> Column:
+    """Two words more, and half as many again, speak for another language than for the asked one; or hardly any word does for that."""
+    own = F.coalesce(*[F.when(asked == k, F.col(f"{scores}.{k}")) for k in LANGUAGE_WORDS])
+    rest = F.greatest(*[F.when(asked != k, F.col(f"{scores}.{k}")) for k in LANGUAGE_WORDS])
+    n = F.col(f"{scores}.n")
+    return ((rest - own >= 2) & (rest >= own * 1.5)) | ((n >= 12) & (own * 25 < n))
 
 
 def script(text: Column) -> Column:
@@ -125,18 +141,18 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
             "said": clean(F.col("answer")),
             "tail": without_citations(clean(F.col("last_sentence"))),
             "q": _core(F.col("question")),
-            "in_q": language(F.col("question")),
+            "scores_q": language_scores(F.col("question")),
             "script_q": script(F.col("question")),
         },
     )
     second = computed_once(
         first.withColumn("bare", F.trim(F.regexp_replace("said", r"\[\d{1,4}(?:\s*[,;–-]\s*\d{1,4})*\]", ""))),
-        [*keys, "said", "bare", "tail", "q", "in_q", "script_q"],
+        [*keys, "said", "bare", "tail", "q", "scores_q", "script_q"],
         {
             "low": F.lower(F.replace("bare", F.lit("’"), F.lit("'"))),
             "shell": F.trim(F.regexp_replace(F.lower("bare"), r"^[\s\p{P}\p{S}]+|[\s\p{P}\p{S}]+$", "")),
             "a": _core(F.col("bare")),
-            "in_a": language(F.col("bare")),
+            "scores_a": language_scores(F.col("bare")),
             "script_a": script(F.col("bare")),
         },
     )
@@ -152,7 +168,7 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
         & ((F.col("a") == F.col("q")) | ((both >= 0.9 * F.size(a_words)) & (both >= 0.75 * F.size(q_words)))),
         "refusal": _refuses(F.col("low")),
         "truncated": ~ends_whole(F.col("tail")),
-        "other_language": spoken & (((F.col("in_q") != F.col("in_a")) & F.col("in_a").isNotNull()) | (F.col("script_q") != F.col("script_a"))),
+        "other_language": spoken & (_foreign(_language("scores_q"), "scores_a") | (F.col("script_q") != F.col("script_a"))),
     }
     fired = F.array_compact(F.array(*[F.when(F.coalesce(seen[d], F.lit(False)), F.lit(d)) for d in DEFECTS]))
     return computed_once(second, keys, {"defects": fired}).withColumn("defect", F.try_element_at("defects", F.lit(1)))
