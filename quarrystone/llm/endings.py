@@ -61,9 +61,9 @@ def ends_whole(text: Column) -> Column:
     count = lambda c: F.length(last) - F.length(F.replace(last, F.lit(c), F.lit("")))
     unclosed = (count("(") > count(")")) | (count("“") > count("”")) | (count("«") > count("»"))
     sentence = stop & ~ellipsis & ~abbreviated & ~split_number & ~unclosed
-    return (text == "") | sentence | (~ellipsis & (is_figure(text) | (is_name(text) & ~abbreviated_name(text))))
+    return (text == "") | sentence | (~ellipsis & (is_figure(text) | (is_name(text) & ~unfinished_name(text))))
 
 
-def abbreviated_name(text: Column) -> Column:
-    """Names that stop at a joiner."""
-    return text.rlike(r"(?:[,;/&-]|\s(?:and|und|et|y))$")
+def unfinished_name(text: Column) -> Column:
+    """Names that stop at a joiner or after one letter."""
+    return text.rlike(r"(?:[,;/&-]|\s(?:and|und|et|y)|(?:^|[\s,;/])\p{Lu})$")

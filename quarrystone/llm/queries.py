@@ -12,6 +12,7 @@ from quarrystone.llm.pairs import broken_pairs, generation_pairs, question_pairs
 from quarrystone.llm.quality import text_verdicts
 from quarrystone.llm.spans import shared_share, shared_spans
 from quarrystone.llm.splitting import split_oversized
+from quarrystone.llm.truncation import truncated_values, truncation_rates
 from quarrystone.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +52,14 @@ def p3_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("pair_table", "pair_id", F.explode("defects").alias("defect"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated_values(table(spark, sf_dir, "generations")).where("truncated").select("generation_id", "field")
+
+
+def p4_truncation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation_rates(truncated_values(table(spark, sf_dir, "generations")))
+
+
 def _similar_sections(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     return near_duplicates(table(spark, sf_dir, "sections"), "section_key", "text", words=3, threshold=0.6, least_words=60)
 
@@ -73,5 +82,5 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p3_found": p3_found, "p3_defects": p3_defects, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p3_found": p3_found, "p3_defects": p3_defects, "p4_found": p4_found, "p4_truncation_rates": p4_truncation_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
 SQL: dict[str, str] = {}
