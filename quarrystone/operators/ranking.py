@@ -20,18 +20,18 @@ def numbered_within(df: DataFrame, group: list[str], order: list[str], tie: str,
     salted = df.withColumn(cell, F.pmod(F.xxhash64(F.col(tie)), F.lit(salts)).cast("int"))
     keys = [*group, *order, cell]
     counts = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    # the running sum goes over counts only; a second level keeps one group from becoming one long task
+    # the running sums go over counts only, first over the order values of a group, then over the cells of a value
     coarse = [*group, *order]
-    per_value = counts.groupBy(*coarse).agg(F.sum("__n").alias("__v"))
-    before_value = per_value.withColumn(
-        "__before", F.coalesce(F.sum("__v").over(_before(group, order)), F.lit(0))
-    ).drop("__v")
-    before_cell = counts.withColumn(
-        "__inner", F.coalesce(F.sum("__n").over(_before(coarse, [cell])), F.lit(0))
-    ).drop("__n")
-    offsets = null_safe_join(before_cell, before_value, coarse).select(
-        *keys, (F.col("__before") + F.col("__inner")).alias("__offset")
-    )
+    inner = F.coalesce(F.sum("__n").over(_before(coarse, [cell])), F.lit(0))
+    if order:
+        per_value = counts.groupBy(*coarse).agg(F.sum("__n").alias("__v"))
+        before = F.coalesce(F.sum("__v").over(_before(group, order)), F.lit(0))
+        before_value = per_value.withColumn("__before", before).drop("__v")
+        offsets = null_safe_join(counts.withColumn("__inner", inner).drop("__n"), before_value, coarse).select(
+            *keys, (F.col("__before") + F.col("__inner")).alias("__offset")
+        )
+    else:
+        offsets = counts.select(*keys, inner.alias("__offset"))
     inside = salted.withColumn(
         "__row", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(tie).asc_nulls_first())) - 1
     )
