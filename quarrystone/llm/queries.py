@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.llm.mixing import Mixture, mix_sources
 from quarrystone.llm.neardup import NearDuplicates, near_duplicates
+from quarrystone.llm.packing import fill_report, pack
 from quarrystone.llm.pairs import broken_pairs, generation_pairs, question_pairs
 from quarrystone.llm.quality import text_verdicts
 from quarrystone.llm.spans import shared_share, shared_spans
 from quarrystone.llm.splitting import split_oversized
+from quarrystone.llm.tokens import token_sizes
 from quarrystone.llm.truncation import truncated_values, truncation_rates
-from quarrystone.storage import table
+from quarrystone.storage import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +76,31 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similar_sections(spark, sf_dir).groups().withColumnRenamed("id", "section_key")
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", ["source"]), "sizes")
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_sizes(spark, sf_dir), table(spark, sf_dir, "pack_containers")).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers = table(spark, sf_dir, "pack_containers")
+    return fill_report(pack(_sizes(spark, sf_dir), containers), containers)
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
+    return mix_sources(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).selection.withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).report
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
     return spans.select(F.col("id").alias("doc_id")).distinct()
@@ -82,5 +110,5 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p3_found": p3_found, "p3_defects": p3_defects, "p4_found": p4_found, "p4_truncation_rates": p4_truncation_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p3_found": p3_found, "p3_defects": p3_defects, "p4_found": p4_found, "p4_truncation_rates": p4_truncation_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
 SQL: dict[str, str] = {}
