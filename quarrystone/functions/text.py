@@ -103,12 +103,13 @@ def fiscal_year(period: Column) -> Column:
 
 
 def filing_date(text: Column) -> Column:
-    """Dates written as 2021-02-03 or 02/03/2021 or 20210203."""
+    """Dates written as 2021-02-03, 2021/02/03, 02/03/2021 or 20210203; null where it is none of them."""
     t = F.trim(F.coalesce(text, F.lit("")))
     iso = F.substring(t, 1, 10).try_cast("date")
     us = F.try_to_timestamp(t, F.lit("MM/dd/yyyy")).cast("date")
     packed = F.when(t.rlike(r"^\d{8}$"), F.try_to_timestamp(t, F.lit("yyyyMMdd")).cast("date"))
-    return F.coalesce(packed, iso, us)
+    slashed = F.try_to_timestamp(t, F.lit("yyyy/MM/dd")).cast("date")
+    return F.coalesce(packed, iso, slashed, us)
 
 
 def safe_name(text: Column) -> Column:

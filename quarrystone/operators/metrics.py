@@ -121,7 +121,7 @@ def bootstrap_interval(differences: DataFrame, cluster: str, value: str, draws:
         low, high = np.percentile(m, [2.5, 97.5])
         return pd.DataFrame([(len(s), int(n.sum()), round(float(s.sum() / n.sum()), 6), round(float(low), 6), round(float(high), 6))], columns=["n_clusters", "n", "mean", "low", "high"])
 
-    return sums.groupBy(F.lit(1)).applyInPandas(run, "n_clusters long, n long, mean double, low double, high double")
+    return sums.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "n_clusters long, n long, mean double, low double, high double")
 
 
 def worst_check(checks: DataFrame) -> DataFrame:

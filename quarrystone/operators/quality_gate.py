@@ -85,7 +85,7 @@ def figures_kept(sections: DataFrame, passages: DataFrame, key: str) -> DataFram
 def statement_titles(sections: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Reported when a larger share of filings than tolerated shows no titled statement."""
     per = sections.groupBy("accession_no").agg(F.max(F.coalesce(F.exists("tables", lambda t: F.coalesce(t["statement_title"], F.lit("")) != ""), F.lit(False)).cast("int")).alias("has"))
-    total = per.agg(F.count(F.lit(1)).alias("n"), F.count_if("has = 0").alias("without")).where(F.col("without") > tolerance * F.col("n"))
+    total = per.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("has") == 0).alias("without")).where(F.col("without") > tolerance * F.col("n"))
     return _rows("statement_titles", total, F.lit("corpus"), F.concat(F.col("without").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" filings have none")))
 
 
