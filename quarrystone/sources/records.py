@@ -34,19 +34,19 @@ def read_tickers(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("ticker <> ''")
 
 
-def read_strict(spark: SparkSession, path: str, schema: T.StructType, missing_ok: bool = False) -> DataFrame:
+def read_strict(spark: SparkSession, path: str, schema: str, missing_ok: bool = False) -> DataFrame:
     """JSON lines of exactly this schema: a broken line fails the read; a missing path is empty if that is allowed."""
     if missing_ok and not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_lenient(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines without those that are broken or no objects."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_recovered(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_recovered(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines of an interrupted writer: the last line of each file may be incomplete and is left out; a broken line before it is an error.
 
     Each file is cut in its own partition; only files of this kind, one per writer, are read so.
@@ -130,7 +130,7 @@ def write_comparison(summaries: DataFrame, run_dir: str, columns: list[str]) ->
     summaries.coalesce(1).write.mode("overwrite").json(f"{run_dir}/manifest")
 
 
-def read_runs(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+def read_runs(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Rows of all runs below a folder with run and modification time, the newest run first; broken lines are left out."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(root)
     named = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))

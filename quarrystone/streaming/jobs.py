@@ -7,7 +7,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from quarrystone.sources.records import exists, replace_table
@@ -28,7 +27,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     )
 
 
-def follow(spark: SparkSession, path: str, schema: T.StructType, form: str = "json") -> DataFrame:
+def follow(spark: SparkSession, path: str, schema: str, form: str = "json") -> DataFrame:
     """An append-only log as a stream."""
     return spark.readStream.schema(schema).format(form).load(path)
 
