@@ -28,14 +28,16 @@ _FINER = {PARAGRAPH: (_PARAGRAPH, PARAGRAPH), SENTENCE: (_SENTENCE, SENTENCE), L
 def _atoms(text: str, start: int, end: int, level: int, limit: int) -> Iterator[tuple[int, int]]:
     """(end, strength of the boundary at end) of the atoms of text[start:end], made finer only where one is over the limit."""
     if level == HARD:
+        white = _WORD.search(text, start, end)
+        run_end = white.start() if white else end
         for at in range(start + limit, end, limit):
-            yield at, HARD
+            # behind the run there is only its white space, which may be cut anywhere
+            yield at, HARD if at < run_end else WORD
         return
     pattern, strength = _FINER[level]
     cuts = [m.end() for m in pattern.finditer(text, start, end) if m.end() < end]
     last = start
     for cut in [*cuts, end]:
-        # white space at the end does not make an atom too long by itself: what is printed is stripped of nothing
         if cut - last > limit:
             yield from _atoms(text, last, cut, level - 1, limit)
         if cut < end:
