@@ -51,7 +51,7 @@ def read_recovered(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     Each file is cut in its own partition; only files of this kind, one per writer, are read so.
     """
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.input_file_name().alias("file"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
     complete = F.regexp_replace("value", r"[^\n]*$", "")
     lines = raw.select(F.explode(F.split(complete, "\n")).alias("line")).where("trim(line) <> ''")
     parsed = lines.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
@@ -63,7 +63,7 @@ def line_problems(spark: SparkSession, path: str, key: str) -> DataFrame:
 
     Lines are numbered by file and offset, so large files are read in parallel pieces only after the numbering of one file, which is a benchmark's size.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
     lines = raw.select(F.posexplode(F.split("value", "\n")).alias("n", "text")).where("trim(text) <> ''")
     v = F.try_parse_json("text")
     name = F.get_json_object("text", f"$.{key}")
