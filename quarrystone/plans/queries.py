@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystone.functions import numeric, text
-from quarrystone.operators import answering, chunking, facts as figures, index, metrics, quality_gate, question, retrieval
+from quarrystone.operators import answering, chunking, facts as figures, grids, index, metrics, quality_gate, question, reports, retrieval
 from quarrystone.operators.components import connected_components
 from quarrystone.storage import table, written
 
@@ -779,3 +779,118 @@ def hourly_events(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(
         F.col("w.start").alias("hour"), "event_type", "n", "total"
     )
+
+
+# ---- grids and reports -----------------------------------------------------------------------------------------------
+
+
+@query()
+def table_parts(spark: SparkSession, d: str) -> DataFrame:
+    return grids.table_parts(table(spark, d, "sections"), "section_key", budget=120, most_rows=2)
+
+
+@query()
+def table_debris(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs per section that are only the wreckage of one of its tables."""
+    s = table(spark, d, "sections")
+    return grids.marked_debris(s, _section_blocks(spark, d), "section_key").groupBy("section_key").agg(F.count_if("debris").alias("n_debris"), F.count(F.lit(1)).alias("n_blocks"))
+
+
+@query()
+def statement_titles(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "sections")
+    lines = s.select("section_key", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\\r\\n?|\\n")).alias("position", "line"))
+    tables = s.select("section_key", F.explode("tables").alias("t")).select("section_key", "t.table_index", F.transform("t.rows", lambda r: F.get(r, F.lit(0))).alias("labels"))
+    return grids.statement_titles(lines, tables, "section_key")
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT upper(ticker) AS ticker, fiscal_year, item FROM documents), o AS (SELECT *, coalesce(list_position(['1','1A','1B','1C','2','3','4','5','6','7','7A','8','9','9A','9B','9C','10','11','12','13','14','15','16'], upper(coalesce(item, ''))), 24) AS k FROM p) "
+    "SELECT ticker, fiscal_year, item, row_number() OVER (PARTITION BY ticker, fiscal_year ORDER BY k, item NULLS LAST) AS place FROM o"
+)
+def corpus_pickers(spark: SparkSession, d: str) -> DataFrame:
+    return reports.pickers(passages(spark, d))
+
+
+@query("SELECT doc_id AS chunk_id, upper(ticker) AS ticker, item FROM documents ORDER BY doc_id LIMIT 20 OFFSET 40")
+def passage_page(spark: SparkSession, d: str) -> DataFrame:
+    return reports.page(passages(spark, d).select("chunk_id", "ticker", "item"), ["chunk_id"], 2, 20)
+
+
+@query(
+    f"WITH {_TOK}, {_ALL}, {_SCOPED}, ha AS ({_ranked('full_', 16)}), hb AS ({_ranked('scoped', 16)}), u AS (SELECT coalesce(ha.qid, hb.qid) AS qid, ha.chunk_id AS l, hb.chunk_id AS r FROM ha FULL JOIN hb ON ha.qid = hb.qid AND ha.chunk_id = hb.chunk_id) "
+    "SELECT qid, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS shared, count(*) FILTER (r IS NULL) AS only_left, count(*) FILTER (l IS NULL) AS only_right FROM u GROUP BY qid"
+)
+def comparison_overlap(spark: SparkSession, d: str) -> DataFrame:
+    i, q = _index(spark, d), asked(spark, d)
+    return reports.overlap(retrieval.search_sparse(i, q, 16), retrieval.search_sparse(i, q, 16, SCOPE))
+
+
+@query(f"WITH {_TOK}, {_ALL}, a AS ({_ranked('full_', 5)}), b AS ({_ranked('full_', 16)}) SELECT a.qid, a.rank FROM a LEFT JOIN b USING (qid, rank) WHERE a.chunk_id IS DISTINCT FROM b.chunk_id")
+def ranking_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    i, q = _index(spark, d), asked(spark, d)
+    return reports.prefix_breaks(retrieval.search_sparse(i, q, 5), retrieval.search_sparse(i, q, 16))
+
+
+_OUTCOMES = (
+    "a AS (SELECT question_id, avg(latency_ms) AS latency_ms, avg(answerable::INT) AS share FROM generations WHERE model = 'lumenar-8' GROUP BY 1), b AS (SELECT question_id, avg(latency_ms) AS latency_ms, avg(answerable::INT) AS share FROM generations WHERE model = 'lumenar-32' GROUP BY 1)"
+)
+
+
+def _by_model(spark: SparkSession, d: str, model: str) -> DataFrame:
+    g = table(spark, d, "generations").where(F.col("model") == model)
+    return g.groupBy("question_id").agg(F.avg("latency_ms").alias("latency_ms"), F.avg(F.col("answerable").cast("int")).alias("share"))
+
+
+@query(
+    f"WITH {_OUTCOMES}, u AS (SELECT a.question_id, 'latency_ms' AS measure, a.latency_ms AS before, b.latency_ms AS after FROM a JOIN b USING (question_id) UNION ALL SELECT a.question_id, 'share', a.share, b.share FROM a JOIN b USING (question_id)) "
+    "SELECT measure, CASE WHEN after - before > 1e-12 THEN 'better' WHEN after - before < -1e-12 THEN 'worse' ELSE 'same' END AS change, count(*) AS n FROM u WHERE before IS NOT NULL AND after IS NOT NULL GROUP BY ALL"
+)
+def question_changes(spark: SparkSession, d: str) -> DataFrame:
+    c = reports.changes(_by_model(spark, d, "lumenar-8"), _by_model(spark, d, "lumenar-32"), ["latency_ms", "share"])
+    return c.groupBy("measure", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "WITH g AS (SELECT coalesce(lower(trim(provider)), 'none') AS provider, coalesce(stop_reason, 'none') AS stop_reason FROM generations) SELECT provider, count(*) FILTER (stop_reason = 'stop') AS stop, count(*) FILTER (stop_reason = 'length') AS length, count(*) FILTER (stop_reason = 'none') AS none FROM g GROUP BY 1"
+)
+def stop_reasons(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "generations").select(F.coalesce(F.lower(F.trim("provider")), F.lit("none")).alias("provider"), F.coalesce("stop_reason", F.lit("none")).alias("stop_reason"))
+    n = g.groupBy("provider", "stop_reason").agg(F.count(F.lit(1)).alias("n"))
+    return reports.pivoted(n, "provider", "stop_reason", "n", ["stop", "length", "none"]).na.fill(0)
+
+
+@query(
+    "WITH q AS (SELECT question_id, upper(ticker) AS ticker, fiscal_year FROM test_questions WHERE ticker IS NOT NULL), d AS (SELECT upper(ticker) AS ticker, fiscal_year, content_type FROM documents) "
+    "SELECT q.question_id, coalesce(nullif(string_agg(DISTINCT d.content_type, '+' ORDER BY d.content_type), ''), 'none') AS content FROM q LEFT JOIN d ON d.ticker = q.ticker AND d.fiscal_year = q.fiscal_year GROUP BY 1"
+)
+def gold_content(spark: SparkSession, d: str) -> DataFrame:
+    p = passages(spark, d)
+    gold = p.groupBy("ticker", "fiscal_year").agg(F.collect_list("chunk_id").alias("supporting_chunk_ids"))
+    q = table(spark, d, "test_questions").where("ticker is not null").select("question_id", F.upper("ticker").alias("ticker"), "fiscal_year").join(gold, ["ticker", "fiscal_year"], "left")
+    return reports.gold_content(q, p)
+
+
+@query(
+    "WITH m AS (SELECT question_id, unnest(sentences) AS s FROM generations), e AS (SELECT len(s.sources) AS k, length(trim(coalesce(s.text, ''))) AS n FROM m) SELECT k AS n_sources, count(*) AS n_sentences, round(avg(n), 6) AS mean_chars FROM e GROUP BY 1"
+)
+def sentence_sources(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "generations").select(F.explode("sentences").alias("s"))
+    return s.groupBy(F.size("s.sources").cast("long").alias("n_sources")).agg(F.count(F.lit(1)).alias("n_sentences"), F.round(F.avg(F.length(F.trim(F.coalesce("s.text", F.lit(""))))), 6).alias("mean_chars"))
+
+
+@query(
+    "SELECT count(*) AS n, count(*) FILTER (json_valid(raw)) AS n_json, count(*) FILTER (raw LIKE '```%') AS n_fenced FROM generations"
+)
+def complete_json(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "generations").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.try_parse_json("raw").isNotNull()).alias("n_json"), F.count_if(F.startswith("raw", F.lit("```"))).alias("n_fenced")
+    )
+
+
+@query(
+    "WITH l AS (SELECT l_orderkey, l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02') SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM l GROUP BY ALL"
+)
+def line_summary(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return l.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
