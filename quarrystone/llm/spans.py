@@ -75,6 +75,8 @@ def _windows(least: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for digest, seeds, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if winnow.digest64(text) != digest & 0xFFFFFFFFFFFFFFFF:
+                    continue  # another row of the same id
                 roll = winnow.RollingHash(text)
                 grams = roll.all_windows(k)
                 own = winnow._sliding(grams, w, np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -108,8 +110,8 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int =
 
     Overlapping shared windows of a text are joined into one span [start, end). Equal texts under several ids are one
     text for the search and each of their ids is wholly shared. Null texts and texts shorter than min_length give no
-    row; repetition inside one text does not count; repeated ids are taken as separate rows of the same text;
-    extra columns are ignored; an empty table gives no row.
+    row; repetition inside one text does not count; rows of one id are taken as rows of their own,
+    rows without an id are left out; extra columns are ignored; an empty table gives no row.
 
     1. Each text of min_length or more gives its winnowed anchors, each with the hash of its whole context (all
        windows of min_length that hold it). 2. Anchors held by two different texts are seeds (least and greatest
@@ -121,7 +123,7 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int =
     if not 8 <= anchor <= min_length:
         raise ValueError("the anchor must have 8 to min_length characters")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(
-        F.col("text").isNotNull() & (F.length("text") >= min_length)
+        F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= min_length)
     )
     base = written(spread(src).mapInArrow(_seeds(min_length, anchor), _SEEDS), "seeds")
     texts = base.where("kind = 0").groupBy("digest").agg(

@@ -88,6 +88,14 @@ def test_a_hot_passage_and_repetition_within(spark):
     assert set(got) == set(range(120)) and all(len(v) == 1 and v[0][1] - v[0][0] >= len(common) for v in got.values())
 
 
+def test_rows_of_one_id_and_of_none(spark):
+    rng = random.Random(8)
+    common, other = prose(rng, 30), prose(rng, 60)
+    docs = [(1, other, ""), (1, prose(rng, 9) + common + prose(rng, 9), ""), (2, common + prose(rng, 9), ""), (None, common, ""), (3, common[:80] + prose(rng, 9), "")]
+    got = run(spark, docs)
+    assert set(got) == {1, 2, 3} and len(got[1]) == 1
+
+
 def test_empty_table_and_shares(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert shared_spans(empty, "doc_id", "text").count() == 0
