@@ -161,7 +161,7 @@ _COVER = (
 def _coverage(idx: retrieval.SparseIndex, q: DataFrame, k: int) -> DataFrame:
     """A second lexical list: distinct words of the query in a passage, discounted by its length."""
     asked_words = q.select("qid", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    hits = idx.postings.join(asked_words, "token").groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("n")).join(idx.docs.select("chunk_id", "dl"), "chunk_id")
+    hits = idx.postings.join(asked_words, "token").groupBy("qid", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("n"))
     return retrieval.ranked(hits.select("qid", "chunk_id", F.round(F.col("n") / (1 + F.log(1 + F.col("dl"))), 9).alias("score")), k)
 
 
