@@ -60,19 +60,19 @@ def _line_kind(line: Column) -> Column:
     return F.coalesce(out, found.otherwise("plain"))
 
 
-def text_statistics(docs: DataFrame, id_col: str, text_col: str, only: set[str] | None = None) -> DataFrame:
+def text_statistics(docs: DataFrame, id_col: str, text_col: str, only: set[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: counts and shares that describe the words, symbols and lines of the text.
 
     Shares are of the characters in lines, 0.0 where there are none. Null and empty texts give zeros, never nulls.
-    Everything is a built-in expression over the row; nothing is shuffled. Extra columns are left out. ``only`` names
-    the statistics wanted, all by default.
+    Everything is a built-in expression over the row; nothing is shuffled. Extra columns are left out but for those of
+    ``keep``. ``only`` names the statistics wanted, all by default.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = F.transform(F.split("__t", "\n"), lambda l: F.struct(F.length(l).alias("n"), _line_kind(l).alias("k")))
     count = lambda pattern: F.regexp_count("__t", F.lit(pattern)).cast("long")
     kept = lambda pattern: F.length(F.regexp_replace("__t", pattern, "")).cast("long")
-    base = docs.select(F.col(id_col), text.alias("__raw"), _tidy(text).alias("__t")).select(
-        id_col, "__t", F.length("__raw").cast("long").alias("__n"), kinds.alias("__k")
+    base = docs.select(F.col(id_col), *keep, text.alias("__raw"), _tidy(text).alias("__t")).select(
+        id_col, *keep, "__t", F.length("__raw").cast("long").alias("__n"), kinds.alias("__k")
     )
     chars = lambda *names: F.aggregate(
         F.filter("__k", lambda x: x["k"].isin(*names)), F.lit(0), lambda acc, x: acc + x["n"]
@@ -115,9 +115,9 @@ def text_statistics(docs: DataFrame, id_col: str, text_col: str, only: set[str]
     wanted = [n for n in ratios if only is None or n in only]
     whole = [n for n in ("n_chars", "n_words", "n_lines") if only is None or n in only]
     needed = {*whole, *(x for n in wanted for x in ratios[n])}
-    counted = computed_once(base, [id_col], {f"__{n}": c for n, c in counts.items() if n in needed})
+    counted = computed_once(base, [id_col, *keep], {f"__{n}": c for n, c in counts.items() if n in needed})
     share = lambda a, b: F.when(F.col(f"__{b}") > 0, F.round(F.col(f"__{a}") / F.col(f"__{b}"), 6)).otherwise(F.lit(0.0))
-    return counted.select(id_col, *[F.col(f"__{n}").alias(n) for n in whole], *[share(*ratios[n]).alias(n) for n in wanted])
+    return counted.select(id_col, *keep, *[F.col(f"__{n}").alias(n) for n in whole], *[share(*ratios[n]).alias(n) for n in wanted])
 
 
 FEATURES = (
@@ -180,15 +180,20 @@ def label_of(text: str) -> str:
 
 
 def learn_rules(docs: DataFrame, id_col: str, text_col: str, sample_rows: int = 3000, least_chars: int = 200) -> RuleList:
-    """Rules fitted on about ``sample_rows`` rows (never more than twice as many) chosen by the hash of their id.
+    """Rules fitted on about ``sample_rows`` rows (never more than twice as many), chosen by the hash of their id, that are long enough.
 
     The bound is on what is fitted only; the rules are applied to every row. Fewer rows than that are all used.
     """
-    usable = docs.where(F.length(text_col) >= least_chars).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    total = usable.count()
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    place = F.pmod(F.xxhash64("__id"), F.lit(1_000_000))
+    total = rows.count()
     part = 1_000_000 if total <= sample_rows else int(1_000_000 * sample_rows / total)
-    sample = usable.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < part).limit(2 * sample_rows)
-    rows = text_statistics(sample, "__id", "__text").join(sample, "__id").orderBy("__id").select("__text", *FEATURES).toPandas()
+    hit = rows.where(place < part).count()
+    if hit > 2 * sample_rows:  # ids that are not unique
+        part = max(1, part * sample_rows // hit)
+    sample = rows.where((place < part) & (F.length("__text") >= least_chars))
+    rows = text_statistics(sample, "__id", "__text", set(FEATURES), ("__text",)).limit(2 * sample_rows).toPandas()
+    rows = rows.sort_values(["__id", "__text"], kind="stable")
     labels = np.array([label_of(t) for t in rows["__text"]], dtype=object)
     return induce({f: rows[f].to_numpy(dtype=float) for f in FEATURES}, labels, "prose")
 
