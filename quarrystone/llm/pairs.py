@@ -78,9 +78,8 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}']+", " "), " "), lambda w: w != "")
 
 
-def language_scores(text: Column) -> Column:
-    """Struct of the words of each language in the text and of all its words, n."""
-    words = _words(text)
+def language_scores(words: Column) -> Column:
+    """Struct of the words of each language among ``words`` and of all of them, n."""
     return F.struct(*[_known(words, listed).alias(k) for k, listed in LANGUAGE_WORDS.items()], F.size(words).alias("n"))
 
 
@@ -134,6 +133,7 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     texts are read, equal rows give equal results, other columns are left out, and nothing is shuffled.
     """
     keys = ["pair_table", "pair_id"]
+    # in steps, so that each costly expression is computed once and stays small enough to be compiled
     first = computed_once(
         pairs,
         keys,
@@ -141,37 +141,47 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
             "said": clean(F.col("answer")),
             "tail": without_citations(clean(F.col("last_sentence"))),
             "q": _core(F.col("question")),
-            "scores_q": language_scores(F.col("question")),
+            "words_q": _words(F.col("question")),
             "script_q": script(F.col("question")),
         },
     )
-    second = computed_once(
-        first.withColumn("bare", F.trim(F.regexp_replace("said", r"\[\d{1,4}(?:\s*[,;–-]\s*\d{1,4})*\]", ""))),
-        [*keys, "said", "bare", "tail", "q", "scores_q", "script_q"],
+    bare = F.trim(F.regexp_replace("said", r"\[\d{1,4}(?:\s*[,;–-]\s*\d{1,4})*\]", ""))
+    second = computed_once(first, [*keys, "tail", "q", "script_q"], {"bare": bare, "shown": without_citations(F.col("said")), "scores_q": language_scores(F.col("words_q"))})
+    third = computed_once(
+        second,
+        [*keys, "tail", "q", "bare", "script_q", "scores_q"],
         {
             "low": F.lower(F.replace("bare", F.lit("’"), F.lit("'"))),
-            "shell": F.trim(F.regexp_replace(F.lower("bare"), r"^[\s\p{P}\p{S}]+|[\s\p{P}\p{S}]+$", "")),
             "a": _core(F.col("bare")),
-            "scores_a": language_scores(F.col("bare")),
-            "script_a": script(F.col("bare")),
+            "spoken": ~is_figure(F.col("shown")) & ~is_name(F.col("shown")),
         },
     )
+    shell = F.trim(F.regexp_replace("low", r"^[\s\p{P}\p{S}]+|[\s\p{P}\p{S}]+$", ""))
+    fourth = computed_once(
+        third,
+        [*keys, "tail", "q", "a", "bare", "script_q", "scores_q", "spoken"],
+        {"shell": shell, "refusal": F.col("spoken") & _refuses(F.col("low")), "words_a": F.when(F.col("spoken"), _words(F.col("bare"))), "script_a": script(F.col("bare"))},
+    )
+    fifth = computed_once(
+        fourth,
+        [*keys, "q", "a", "bare", "shell", "script_q", "script_a", "scores_q", "spoken", "refusal"],
+        {"scores_a": language_scores(F.col("words_a")), "truncated": ~ends_whole(F.col("tail"))},
+    )
     # the same placeholder once per sentence is still one
     once = F.regexp_replace("shell", r"^(.{1,40}?)(?:[\s\p{P}\p{S}]+\1)+$", "$1")
     q_words, a_words = F.array_distinct(F.split("q", " ")), F.array_distinct(F.split("a", " "))
     both = F.size(F.array_intersect(q_words, a_words))
-    spoken = ~is_figure(without_citations(F.col("said"))) & ~is_name(without_citations(F.col("said")))
     seen = {
         "empty": (F.regexp_replace("bare", r"[\p{P}\p{S}\p{Z}\p{C}]+", "") == "") | once.rlike("^(?:" + PLACEHOLDERS + ")$"),
         "copies_question": (F.col("q") != "")
         & (F.size(q_words) >= 3)
         & ((F.col("a") == F.col("q")) | ((both >= 0.9 * F.size(a_words)) & (both >= 0.75 * F.size(q_words)))),
-        "refusal": _refuses(F.col("low")),
-        "truncated": ~ends_whole(F.col("tail")),
-        "other_language": spoken & (_foreign(_language("scores_q"), "scores_a") | (F.col("script_q") != F.col("script_a"))),
+        "refusal": F.col("refusal"),
+        "truncated": F.col("truncated"),
+        "other_language": F.col("spoken") & (_foreign(_language("scores_q"), "scores_a") | (F.col("script_q") != F.col("script_a"))),
     }
     fired = F.array_compact(F.array(*[F.when(F.coalesce(seen[d], F.lit(False)), F.lit(d)) for d in DEFECTS]))
-    return computed_once(second, keys, {"defects": fired}).withColumn("defect", F.try_element_at("defects", F.lit(1)))
+    return computed_once(fifth, keys, {"defects": fired}).withColumn("defect", F.try_element_at("defects", F.lit(1)))
 
 
 def question_pairs(questions: DataFrame) -> DataFrame:
