@@ -57,9 +57,8 @@ def ends_whole(text: Column) -> Column:
     abbreviated = text.rlike(r"(?:^|[\s(])(?:" + "|".join(ABBREVIATIONS.split()) + r"|\p{Lu}(?:\.\p{Lu})?)\.$")
     # a decimal part or the rest of a thousands group is missing: amounts below ten thousand are never written out in full
     split_number = text.rlike(r"[$€£]\d{1,3}\.$|[$€£]\d,\d{3}\.$") & ~is_figure(text)
-    last = F.regexp_replace(text, r"^.*[.!?]\s+(?=[\p{Lu}\"“«(¿¡])", "")
-    count = lambda c: F.length(last) - F.length(F.replace(last, F.lit(c), F.lit("")))
-    unclosed = (count("(") > count(")")) | (count("“") > count("”")) | (count("«") > count("»"))
+    # an opening sign after which neither its closing sign nor the end of a sentence before another one comes
+    unclosed = text.rlike(r"\((?:[^()]|\([^()]*\))*$|“[^”]*$|«[^»]*$") & ~text.rlike(r"[(“«](?:[^)”»]*)[.!?]\s+[\p{Lu}(“«¿¡][^(“«]*$")
     sentence = stop & ~ellipsis & ~abbreviated & ~split_number & ~unclosed
     return (text == "") | sentence | (~ellipsis & (is_figure(text) | (is_name(text) & ~unfinished_name(text))))
 

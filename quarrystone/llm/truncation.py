@@ -72,21 +72,28 @@ def _stripped(raw: Column) -> Column:
     return F.regexp_replace(F.coalesce(raw, F.lit("")), tail, "")
 
 
-def structure_state(raw: Column) -> Column:
-    """'closed' or 'open' where raw is JSON, whether valid or not, 'plain' elsewhere, 'blank' without any character.
+_JSON_BEGINS = r"^\s*(?:```\w*\s*)?[{]|^\s*(?:```\w*\s*)?\[\s*[{\"\]]|^\s*`{1,3}\w*\s*$"
+_LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
-    String literals are taken out first, so that brackets inside them do not count; a quote that stays is an open literal.
-    """
+
+def structure_parts(raw: Column) -> dict[str, Column]:
+    """Columns that structure_state reads: whether raw begins like JSON, and what is left of it without string literals, so that brackets inside them do not count."""
     text = F.coalesce(raw, F.lit(""))
-    begins = text.rlike(r"^\s*(?:```\w*\s*)?[{]|^\s*(?:```\w*\s*)?\[\s*[{\"\]]") | text.rlike(r"^\s*`{1,3}\w*\s*$") | text.rlike(r'[{]\s*"answerable"')
-    body = F.regexp_replace(F.regexp_replace(text, r"^[^{\[]*", ""), r'"(?:[^"\\]|\\.)*+"', "")
+    return {
+        "begins": text.rlike(_JSON_BEGINS) | F.contains(text, F.lit('"answerable"')) & text.rlike(r'[{]\s*"answerable"'),
+        "body": F.regexp_replace(F.regexp_replace(text, r"^[^{\[]*", ""), _LITERAL, ""),
+    }
+
+
+def structure_state(raw: Column) -> Column:
+    """'closed' or 'open' where raw is JSON, whether valid or not, 'plain' elsewhere, 'blank' without any character; reads the columns begins and body."""
+    body = F.col("body")
     count = lambda c: F.length(body) - F.length(F.replace(body, F.lit(c), F.lit("")))
-    closed = body.rlike(r"^[{\[]") & (count("{") == count("}")) & (count("[") == count("]")) & (count('"') == 0)
+    closed = body.rlike(r"^[{\[]") & (count("{") == count("}")) & (count("[") == count("]")) & ~F.contains(body, F.lit('"'))
     # quotes inside a literal may be unescaped; output that ends with the closing brackets of the whole is complete all the same
-    ends = _stripped(text).rlike(r"\]\s*,?\s*\}\s*$") & (count("{") <= count("}"))
-    return (
-        F.when(F.trim(F.regexp_replace(text, r"\s+", "")) == "", "blank").when(~begins, "plain").when(closed | ends, "closed").otherwise("open")
-    )
+    ends = _stripped(raw).rlike(r"\]\s*,?\s*\}\s*$") & (count("{") <= count("}"))
+    blank = ~F.coalesce(raw, F.lit("")).rlike(r"\S")
+    return F.when(blank, "blank").when(~F.col("begins"), "plain").when(closed | ends, "closed").otherwise("open")
 
 
 def _marker(text: Column) -> Column:
@@ -130,32 +137,34 @@ def truncated_values(generations: DataFrame) -> DataFrame:
     ).select("generation_id", "provider", "model", "v.field", "v.value")
     everything = base.select(F.explode(F.array(F.rtrim("raw"), "text", "shown", _stripped(F.col("raw")))).alias("value"))
     copies = longer_copies(everything, "value").select(F.xxhash64("value").alias("key"), F.col("value").alias("copy_of"), "rest")
-    looked = computed_once(
-        values,
-        ["generation_id", "provider", "model", "field"],
-        {
-            "value": F.col("value"),
-            "cut": F.when(F.col("field") == "raw", _stripped(F.col("value"))).otherwise(F.coalesce("value", F.lit(""))),
-            "state": F.when(F.col("field") == "raw", structure_state(F.col("value"))).otherwise("plain"),
-        },
-    ).withColumn("key", F.xxhash64("cut"))
+    keys = ["generation_id", "provider", "model", "field"]
+    is_raw = F.col("field") == "raw"
+    # in steps, so that each costly expression is computed once and stays small enough to be compiled
+    parts = computed_once(
+        values, [*keys, "value"], {"cut": F.when(is_raw, _stripped(F.col("value"))).otherwise(F.coalesce("value", F.lit(""))), **{k: F.when(is_raw, c) for k, c in structure_parts(F.col("value")).items()}}
+    )
+    looked = computed_once(parts, [*keys, "value", "cut"], {"state": F.when(is_raw, structure_state(F.col("value"))).otherwise("plain")}).withColumn("key", F.xxhash64("cut"))
     joined = looked.join(copies, (looked["key"] == copies["key"]) & (looked["cut"] == copies["copy_of"]), "left").drop(copies["key"])
-    tail = without_citations(clean(F.col("cut")))
+    # values whose structure decides need no look at how they end
+    reads = ~F.col("state").isin("closed", "blank", "open")
+    flat = computed_once(joined, [*keys, "state", "rest"], {"flat": F.when(reads, clean(F.col("cut"))), "noted": reads & is_raw & _note(F.col("value"))})
+    tails = computed_once(flat, [*keys, "state", "rest", "flat", "noted"], {"tail": without_citations(F.col("flat")), "marker": _marker(F.col("flat")), "nothing": _says_nothing(F.col("flat"))})
+    found_copy = F.col("rest").isNotNull()
     judged = computed_once(
-        joined,
-        ["generation_id", "provider", "model", "field"],
+        tails,
+        keys,
         {
-            "reason": F.when(F.col("state") == "open", F.when(F.col("rest").isNotNull(), "longer_copy").otherwise("open_structure"))
-            .when(F.col("state").isin("closed", "blank") | _says_nothing(clean(F.col("cut"))) & ~_marker(F.col("cut")), F.lit(None))
-            .when(_goes_on(F.col("rest")) & ~is_figure(tail), "longer_copy")
-            .when(_marker(clean(F.col("cut"))) | ~ends_whole(tail) | ((F.col("field") == "raw") & _note(F.col("value"))), F.when(F.col("rest").isNotNull(), "longer_copy").otherwise("ending"))
+            "reason": F.when(F.col("state") == "open", F.when(found_copy, "longer_copy").otherwise("open_structure"))
+            .when(~reads | (F.col("nothing") & ~F.col("marker")), F.lit(None))
+            .when(_goes_on(F.col("rest")) & ~is_figure(F.col("tail")), "longer_copy")
+            .when(F.col("marker") | F.col("noted") | ~ends_whole(F.col("tail")), F.when(found_copy, "longer_copy").otherwise("ending"))
         },
     )
     return judged.select("generation_id", "provider", "model", "field", F.col("reason").isNotNull().alias("truncated"), "reason")
 
 
 def _note(raw: Column) -> Column:
-    """Plain output that ends with a sign that something was cut."""
+    """Output that ends with a sign that something was cut."""
     return F.coalesce(raw, F.lit("")).rlike(r"(?:…|\.{3}|\[(?:truncated|cut|\.\.\.|…)\]|<truncated>)\s*(?:```\s*)?$")
 
 
