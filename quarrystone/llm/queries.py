@@ -111,4 +111,22 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p3_found": p3_found, "p3_defects": p3_defects, "p4_found": p4_found, "p4_truncation_rates": p4_truncation_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": (
+        "SELECT section_key, CASE WHEN list_max(list_transform(regexp_split_to_array(text, "
+        "'[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: length(x))) > 1800 THEN 'hard' ELSE 'boundary' END AS cut "
+        "FROM sections WHERE length(text) > 1800"
+    ),
+    "p5_found": (
+        "WITH w AS (SELECT section_key, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM sections), "
+        "s AS (SELECT DISTINCT section_key, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 60), "
+        "n AS (SELECT section_key, count(*) AS n FROM s GROUP BY 1), "
+        "c AS (SELECT a.section_key AS a, b.section_key AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.section_key < b.section_key GROUP BY ALL) "
+        "SELECT a AS section_key_a, b AS section_key_b FROM c JOIN n x ON x.section_key = a JOIN n y ON y.section_key = b WHERE k >= 0.6 * (x.n + y.n - k)"
+    ),
+    "p8_found": (
+        "WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 240), "
+        "p AS (SELECT doc_id, text, unnest(range(1, n - 238)) AS i FROM d), w AS (SELECT doc_id, md5(substr(text, i, 240)) AS h FROM p), "
+        "s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)) SELECT DISTINCT doc_id FROM w JOIN s USING (h)"
+    ),
+}
