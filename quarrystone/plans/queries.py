@@ -112,7 +112,15 @@ def bm25_prefiltered(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search_sparse(_index(spark, d), asked(spark, d), 16, SCOPE)
 
 
-@query()
+_FIGURE_WORDS = question.phrase(question.NUMERIC + tuple(a for names, _, _ in question.METRICS.values() for a in names))
+_FIGURE_WORDS = "(?:^|\\W)" + _FIGURE_WORDS[len(r"(?<![\w])") : -len(r"(?![\w])")] + "(?:$|\\W)"
+
+
+@query(
+    f"WITH {_TOK}, {_SCOPED}, wants AS (SELECT qid, regexp_matches(lower(coalesce(text, '')), '{_FIGURE_WORDS}') AS figures FROM q), "
+    "boosted AS (SELECT s.qid, s.chunk_id, CASE WHEN w.figures AND s.content_type = 'table' THEN round(CASE WHEN s.score >= 0 THEN s.score * 1.2 ELSE s.score / 1.2 END, 9) ELSE round(s.score, 9) END AS score FROM scoped s JOIN wants w USING (qid)) "
+    f"{_ranked('boosted', 16)}"
+)
 def bm25_table_boost(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search_sparse(_index(spark, d), asked(spark, d), 16, SCOPE, boost_tables=True)
 
@@ -264,7 +272,14 @@ def contingency_2x2(spark: SparkSession, d: str) -> DataFrame:
     return metrics.contingency(_scored(spark, d), _scored(spark, d, SCOPE))
 
 
-@query()
+_RECALL = "SELECT n.qid, round(coalesce(f.found, 0) / n.n, 6) AS v FROM (SELECT qid, count(*) AS n FROM rel GROUP BY 1) n LEFT JOIN (SELECT qid, count(*) AS found FROM {} JOIN rel USING (qid, chunk_id) GROUP BY 1) f USING (qid)"
+
+
+@query(
+    _HITS_BOTH + f"ra AS ({_RECALL.format('ha')}), rb AS ({_RECALL.format('hb')}) "
+    "SELECT count(*) AS n, round(avg(ra.v), 6) AS left_mean, round(avg(rb.v), 6) AS right_mean, round(avg(ra.v - rb.v), 6) AS difference, count(*) FILTER (ra.v - rb.v > 1e-12) AS wins, "
+    "count(*) FILTER (ra.v - rb.v < -1e-12) AS losses, count(*) FILTER (abs(ra.v - rb.v) <= 1e-12) AS ties FROM ra JOIN rb USING (qid)"
+)
 def paired_comparison(spark: SparkSession, d: str) -> DataFrame:
     return metrics.paired(_scored(spark, d), _scored(spark, d, SCOPE), "recall")
 
