@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.barrier import computed_once
 from quarrystone.llm.rules import RuleList, induce
+from quarrystone.storage import spread
 
 #: Common words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -64,14 +65,14 @@ def text_statistics(docs: DataFrame, id_col: str, text_col: str, only: set[str]
     """One row per row of docs: counts and shares that describe the words, symbols and lines of the text.
 
     Shares are of the characters in lines, 0.0 where there are none. Null and empty texts give zeros, never nulls.
-    Everything is a built-in expression over the row; nothing is shuffled. Extra columns are left out but for those of
+    Everything is a built-in expression over the row; nothing is shuffled, unless the scan has fewer partitions than half the cores. Extra columns are left out but for those of
     ``keep``. ``only`` names the statistics wanted, all by default.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = F.transform(F.split("__t", "\n"), lambda l: F.struct(F.length(l).alias("n"), _line_kind(l).alias("k")))
     count = lambda pattern: F.regexp_count("__t", F.lit(pattern)).cast("long")
     kept = lambda pattern: F.length(F.regexp_replace("__t", pattern, "")).cast("long")
-    base = docs.select(F.col(id_col), *keep, text.alias("__raw"), _tidy(text).alias("__t")).select(
+    base = spread(docs, *dict.fromkeys([id_col, text_col, *keep])).select(F.col(id_col), *keep, text.alias("__raw"), _tidy(text).alias("__t")).select(
         id_col, *keep, "__t", F.length("__raw").cast("long").alias("__n"), kinds.alias("__k")
     )
     chars = lambda *names: F.aggregate(
