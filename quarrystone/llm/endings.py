@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: Characters without width, and what may stand for a space.
 INVISIBLE = "[\\u00ad\\u034f\\u061c\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\ufe0f\\ufeff]"
-SPACES = "[\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\s]+"
+OTHER_SPACES = "\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\t\\n\\u000b\\f\\r"
+#: White space that is more than one plain space; text without any is left as it is.
+SPACES = f" *[{OTHER_SPACES}]+[ {OTHER_SPACES}]*| {{2,}}"
 
 #: Words that mark an abbreviation when a text stops after their full stop.
 ABBREVIATIONS = "Inc Corp Co Ltd approx No Nos St Mr Mrs Ms Dr Mio Mrd Nr bzw ca vs resp incl excl Art fig al"

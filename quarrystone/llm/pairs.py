@@ -43,6 +43,11 @@ REFUSALS = (
     r"\bno (?:puedo|dispongo|tengo (?:acceso|información|datos)|me es posible|estoy en condiciones|sé responder|quiero responder)\b",
     r"\bprefiero no\b|\bme (?:es imposible|veo obligad[oa])\b|\bdebo (?:declinar|rechazar)\b",
 )
+#: One of these words stands in every refusal above; the patterns are tried only where one does.
+REFUSAL_HINTS = (
+    r"(?:^|[^\p{L}])(?:i|i'm|my|me|ich|mir|je|il m'est|answer can|nothing i|enough information|outside|passages?|context|excerpts?|auszüge|keine antwort|"
+    r"no (?:puedo|dispongo|tengo|estoy|sé|quiero)|prefiero|debo)(?:$|[^\p{L}])|ne m'"
+)
 #: Openings that promise a refusal when nothing of substance follows.
 APOLOGIES = (
     r"^(?:i'm sorry|i am sorry|sorry|my apologies|apologies|regrettably|unfortunately|thank you for asking|entschuldigung|leider|es tut mir leid|tut mir leid|"
@@ -102,12 +107,13 @@ def script(text: Column) -> Column:
     """The script of most letters: latin or other; null without letters."""
     letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
     latin = F.length(F.regexp_replace(text, r"\P{IsLatin}+", ""))
-    return F.when(letters > 0, F.when(latin * 2 >= letters, "latin").otherwise("other"))
+    mixed = F.when(latin * 2 >= letters, "latin").otherwise("other")
+    return F.when(text.rlike(r"[\p{L}&&\P{IsLatin}]"), mixed).when(text.rlike(r"\p{L}"), "latin")
 
 
 def _core(text: Column) -> Column:
-    """Words of a question without frame, case and punctuation."""
-    out = F.lower(clean(text))
+    """Words of a clean question without frame, case and punctuation."""
+    out = F.lower(text)
     for _ in range(3):
         out = F.regexp_replace(out, FRAMES, "")
     out = F.regexp_replace(out, r"\bfy\s?(?=\d{2,4}\b)", "fiscal ")
@@ -122,7 +128,7 @@ def _refuses(low: Column) -> Column:
         declines = declines | low.rlike(pattern)
     quoted = low.rlike(r"^(?:the (?:filing|report|company|note)|management|according to)\b") & ~low.rlike(APOLOGIES)
     figure = low.rlike(r"\d[\d.,]* ?(?:%|million|billion|mio|millions|millones)")
-    return (declines & ~quoted) | (low.rlike(APOLOGIES) & (F.length(low) < 200) & ~figure)
+    return (low.rlike(REFUSAL_HINTS) & declines & ~quoted) | (low.rlike(APOLOGIES) & (F.length(low) < 200) & ~figure)
 
 
 def broken_pairs(pairs: DataFrame) -> DataFrame:
@@ -140,7 +146,7 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
         {
             "said": clean(F.col("answer")),
             "tail": without_citations(clean(F.col("last_sentence"))),
-            "q": _core(F.col("question")),
+            "q": _core(clean(F.col("question"))),
             "words_q": _words(F.col("question")),
             "script_q": script(F.col("question")),
         },
