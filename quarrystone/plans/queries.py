@@ -246,9 +246,9 @@ def _scored(spark: SparkSession, d: str, on: dict[str, str] | None = None) -> Da
     return metrics.question_metrics(retrieval.search_sparse(_index(spark, d), asked(spark, d), 16, on), _relevant(spark, d), 16)
 
 
-@query(f"WITH {_TOK}, {_ALL}, {_RELEVANT}, hit AS ({_ranked('full_', 16)}), {_METRIC_SQL} SELECT * FROM m")
+@query(f"WITH {_TOK}, {_ALL}, {_RELEVANT}, hit AS ({_ranked('full_', 16)}), {_METRIC_SQL} SELECT * REPLACE (first_rank::VARCHAR AS first_rank) FROM m")
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d)
+    return _scored(spark, d).withColumn("first_rank", F.col("first_rank").cast("string"))
 
 
 @query(
@@ -821,10 +821,10 @@ def statement_titles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "WITH p AS (SELECT DISTINCT upper(ticker) AS ticker, fiscal_year, item FROM documents), o AS (SELECT *, coalesce(list_position(['1','1A','1B','1C','2','3','4','5','6','7','7A','8','9','9A','9B','9C','10','11','12','13','14','15','16'], upper(coalesce(item, ''))), 24) AS k FROM p) "
-    "SELECT ticker, fiscal_year, item, row_number() OVER (PARTITION BY ticker, fiscal_year ORDER BY k, item NULLS LAST) AS place FROM o"
+    "SELECT ticker, fiscal_year::VARCHAR AS fiscal_year, item, row_number() OVER (PARTITION BY ticker, fiscal_year ORDER BY k, item NULLS LAST) AS place FROM o"
 )
 def corpus_pickers(spark: SparkSession, d: str) -> DataFrame:
-    return reports.pickers(passages(spark, d))
+    return reports.pickers(passages(spark, d)).withColumn("fiscal_year", F.col("fiscal_year").cast("string"))
 
 
 @query("SELECT doc_id AS chunk_id, upper(ticker) AS ticker, item FROM documents ORDER BY doc_id LIMIT 20 OFFSET 40")
