@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.functions import text
+from quarrystone.functions import numeric, text
+from quarrystone.operators import chunking
 
 #: Sections that an annual report must have.
 KEY_ITEMS = ("1", "1A", "7", "7A", "8")
@@ -65,12 +67,37 @@ def passage_sizes(passages: DataFrame, kind: str, size: str, limit: int, toleran
     return _rows("passage_sizes", per.where(F.col("over") / F.col("n") > allowed), F.col(kind), F.concat(F.col("over").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" over the limit")))
 
 
-def prose_kept(blocks: DataFrame, passages: DataFrame, key: str) -> DataFrame:
-    """Paragraphs of which no passage of their section holds the text, white space aside."""
+def _cut(budget: int):
+    """Pieces that cut_block makes of a long paragraph; the paragraph itself is one more piece where they do not hold all of its characters."""
+    bare = lambda t: "".join(t.split())
+
+    @F.pandas_udf("array<string>")
+    def run(blocks: pd.Series) -> pd.Series:
+        def one(block):
+            if block is None:
+                return None
+            made = chunking.cut_block(block, budget)
+            return made if bare("".join(made)) == bare(block) else [*made, block]
+
+        return blocks.map(one)
+
+    return run
+
+
+def prose_kept(blocks: DataFrame, passages: DataFrame, key: str, budget: int = numeric.BUDGET) -> DataFrame:
+    """Paragraphs of which no passage of their section holds the text, white space aside.
+
+    A paragraph over the budget stands in several passages: each piece that cut_block makes of it is looked for.
+    """
     whole = passages.groupBy(key).agg(F.array_join(F.collect_list(text.squash(F.col("text"))), "\u0000").alias("all"))
-    met = blocks.select(key, "position", text.squash(F.col("block")).alias("b")).join(whole, key, "left")
-    lost = met.where(~F.coalesce(F.contains("all", F.col("b")), F.lit(False)))
-    return _rows("prose_kept", lost, F.concat_ws(" ", key, "position"), F.lit("paragraph in no passage"))
+    long_ = F.length("block") > budget
+    cut = blocks.select(key, "position", "block", _cut(budget)(F.when(long_, F.col("block"))).alias("cut"))
+    pieces = F.transform(F.when(long_, F.col("cut")).otherwise(F.array("block")), text.squash)
+    met = cut.select(key, "position", pieces.alias("pieces")).join(whole, key, "left")
+    gone = F.size(F.filter("pieces", lambda p: ~F.coalesce(F.contains(F.col("all"), p), F.lit(False))))
+    lost = met.select(key, "position", F.size("pieces").alias("n"), gone.alias("gone")).where("gone > 0")
+    problem = F.when(F.col("n") == 1, "paragraph in no passage").otherwise(F.concat(F.col("gone").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" pieces of a paragraph in no passage")))
+    return _rows("prose_kept", lost, F.concat_ws(" ", key, "position"), problem)
 
 
 def figures_kept(sections: DataFrame, passages: DataFrame, key: str) -> DataFrame:

@@ -680,11 +680,11 @@ def corpus_gate(spark: SparkSession, d: str) -> DataFrame:
         "stage_parity": stage_parity(spark, d),
         "key_items": quality_gate.key_items(sections),
         "integrity": quality_gate.integrity(sections),
-        "prose_kept": quality_gate.prose_kept(kept.where(F.length("block") <= numeric.BUDGET), pieces, "section_key"),
+        "prose_kept": quality_gate.prose_kept(kept, pieces, "section_key"),
         "figures_kept": quality_gate.figures_kept(sections, pieces, "section_key"),
         "statement_titles": quality_gate.statement_titles(sections),
     }
-    return quality_gate.gate(checks, {"prose_kept": "integrity"})
+    return quality_gate.gate(checks)
 
 
 # ---- questions -------------------------------------------------------------------------------------------------------

@@ -200,3 +200,40 @@ def test_each_fault_fails_its_check(spark):
     assert gate["integrity"][1] is False and gate["key_items"] == (None, None)
     sizes = spark.createDataFrame([("prose", 9), ("prose", 2), ("table", 9)], "kind string, n int")
     assert [r.subject for r in quality_gate.passage_sizes(sizes, "kind", "n", 5, {"prose": 0.5}).collect()] == ["table"]
+
+
+def test_prose_kept_sees_long_paragraphs(spark, rows):
+    long_ = " ".join(f"Sentence number {i} of a long paragraph ends here." for i in range(120))
+    sections = spark.createDataFrame([(1, f"Short one.\n\n{long_}\n\n{'x' * 5000}", 0)], "section_key long, text string, n_tables int")
+    blocks = chunking.rejoined(chunking.paragraphs(sections, "section_key"), "section_key")
+    kept = chunking.prose_passages(sections, "section_key")
+    assert quality_gate.prose_kept(blocks, kept, "section_key").count() == 0
+    without = kept.withColumn("text", F.replace("text", F.lit("Sentence number 70 of"), F.lit("")))
+    got = quality_gate.prose_kept(blocks, without, "section_key").collect()
+    assert [(r.subject, r.problem) for r in got] == [("1 1", "1 of 4 pieces of a paragraph in no passage")]
+
+
+def test_prose_kept_does_not_trust_the_cut(spark):
+    from quarrystone.operators.quality_gate import _cut
+
+    import pandas as pd
+
+    cut = _cut(20).func
+    block = "One sentence here. Another sentence here."
+    assert list(cut(pd.Series([block, None]))) == [chunking.cut_block(block, 20), None]
+    whole, chunking.cut_block = chunking.cut_block, lambda b, n: [b[:n]]
+    try:
+        assert cut(pd.Series([block]))[0] == [block[:20], block]
+    finally:
+        chunking.cut_block = whole
+
+
+def test_gate_reports_prose_where_integrity_fails(spark):
+    import os
+
+    from quarrystone.plans import queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test data")
+    got = {r.check: r.n_problems for r in queries.corpus_gate(spark, "/root/testdata/sf0.001").collect()}
+    assert got["integrity"] > 0 and got["prose_kept"] == 0
