@@ -12,7 +12,7 @@ from quarrystone.llm.neardup import NearDuplicates, near_duplicates
 from quarrystone.llm.packing import fill_report, pack
 from quarrystone.llm.pairs import broken_pairs, generation_pairs, question_pairs
 from quarrystone.llm.quality import text_verdicts
-from quarrystone.llm.spans import shared_share, shared_spans
+from quarrystone.llm.spans import maximal_spans, shared_share, shared_spans
 from quarrystone.llm.splitting import split_oversized
 from quarrystone.llm.tokens import token_sizes
 from quarrystone.llm.truncation import truncated_values, truncation_rates
@@ -106,11 +106,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select(F.col("id").alias("doc_id")).distinct()
 
 
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_spans(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p3_found": p3_found, "p3_defects": p3_defects, "p4_found": p4_found, "p4_truncation_rates": p4_truncation_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shared_share": p8_shared_share}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p3_found": p3_found, "p3_defects": p3_defects, "p4_found": p4_found, "p4_truncation_rates": p4_truncation_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_spans": p8_spans, "p8_shared_share": p8_shared_share}
 SQL: dict[str, str] = {
     "p1_found": (
         "SELECT section_key, CASE WHEN list_max(list_transform(regexp_split_to_array(text, "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -105,10 +106,127 @@ def _in_two(df: DataFrame, *key: str) -> DataFrame:
     )
 
 
+def _positions(least: int):
+    """Every window inside the given stretches of a text, with the character before it (-1 at the beginning of the text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, islands, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if winnow.digest64(text) != digest & 0xFFFFFFFFFFFFFFFF:
+                    continue  # another row of the same id
+                roll = winnow.RollingHash(text)
+                before = np.concatenate([[-1], winnow.code_points(text).astype(np.int32)])
+                at = np.concatenate([np.arange(i["start"], i["end"] - least + 1) for i in islands])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(at), digest, dtype=np.int64)),
+                        pa.array(_signed(roll.windows(at, at + least))),
+                        pa.array(before[at].astype(np.int32)),
+                        pa.array(at.astype(np.int32)),
+                    ],
+                    ["digest", "wh", "before", "start"],
+                )
+
+    return run
+
+
+def _tails(least: int):
+    """What follows the windows at the given starts, up to the end of their stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, islands, starts, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if winnow.digest64(text) != digest & 0xFFFFFFFFFFFFFFFF:
+                    continue
+                ends = {i["start"]: i["end"] for i in islands}
+                first = np.array(sorted(ends))
+                for some in (starts[i : i + 1000] for i in range(0, len(starts), 1000)):
+                    at = [x["start"] for x in some]
+                    stop = [ends[int(first[i])] for i in np.searchsorted(first, at, "right") - 1]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([x["wh"] for x in some], pa.int64()),
+                            pa.array([digest] * len(some), pa.int64()),
+                            pa.array(at, pa.int32()),
+                            pa.array([text[a + least : e] for a, e in zip(at, stop)], pa.string()),
+                        ],
+                        ["wh", "digest", "start", "tail"],
+                    )
+
+    return run
+
+
+def _agree(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _longest(least: int):
+    """Longest match of each window with another text, from rows sorted by (wh, tail): it is with the nearest row of another text above or below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # pending: (start, match with the text above, agreement with the row above) of the last rows of one text
+        pending: list[tuple[int, int, int]] = []
+        group = digest = None
+        tail = ""
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+
+            def close(below: int) -> None:
+                for start, above, step in reversed(pending):
+                    if (best := max(above, below)) >= 0:
+                        out.append((digest, start, start + least + best))
+                    below = min(below, step)
+                pending.clear()
+
+            for wh, d, start, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if wh != group:
+                    close(-1)
+                    group, above, step = wh, -1, -1
+                else:
+                    step = _agree(tail, t)
+                    if d != digest:
+                        close(step)
+                        above = step
+                    else:
+                        above = min(pending[-1][1], step)
+                digest, tail = d, t
+                pending.append((start, above, step))
+            if out:
+                yield _ends(out)
+        if pending:
+            yield _ends([(digest, start, start + least + above) for start, above, _ in pending if above >= 0])
+
+    return run
+
+
+def _ends(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["digest", "start", "end"])
+
+
+@dataclass(frozen=True)
+class _Shared:
+    """Texts, the rows that hold them, and the stretches of each text that shared windows cover."""
+
+    src: DataFrame
+    owners: DataFrame
+    texts: DataFrame
+    stretches: DataFrame
+
+
 def shared_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int = 240, anchor: int = ANCHOR) -> DataFrame:
-    """(id, start, end, n_chars): maximal spans of each text, of min_length characters or more, that stand verbatim in another row.
+    """(id, start, end, n_chars): stretches of each text that are covered by runs of min_length characters or more of other rows.
 
-    Overlapping shared windows of a text are joined into one span [start, end). Equal texts under several ids are one
+    Overlapping and touching shared windows of a text are joined into one stretch [start, end), so its parts may come from
+    different texts; ``maximal_spans`` has the runs that stand verbatim in one other text. Equal texts under several ids are one
     text for the search and each of their ids is wholly shared. Null texts and texts shorter than min_length give no
     row; repetition inside one text does not count; rows of one id are taken as rows of their own,
     rows without an id are left out; extra columns are ignored; an empty table gives no row.
@@ -120,6 +238,10 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int =
        by one, each by the anchor that the window itself chooses, and matched the same way; of each closed context
        with such an anchor two texts take part. No step lists the texts of an anchor together or pairs them.
     """
+    return _whole_or_parts(found := _shared(docs, id_col, text_col, min_length, anchor), found.stretches)
+
+
+def _shared(docs: DataFrame, id_col: str, text_col: str, min_length: int, anchor: int) -> _Shared:
     if not 8 <= anchor <= min_length:
         raise ValueError("the anchor must have 8 to min_length characters")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(
@@ -164,21 +286,57 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int =
         .agg(F.min("s").alias("start"), F.max("e").alias("end"))
     )
     owners = base.where("kind = 0").select("id", "digest", F.col("p1").alias("n"))
-    alone = owners.join(joined, "digest").select("id", "digest", "start", F.least("end", "n").alias("end"), "n")
-    copied = texts.where("copies > 1").select("digest")
-    whole = owners.join(copied, "digest", "left_semi").select("id", F.lit(0).alias("start"), F.col("n").alias("end"), "n")
+    stretches = joined.join(texts.select("digest", "n"), "digest").select("digest", "start", F.least("end", "n").alias("end"))
+    return _Shared(src, owners, texts, stretches)
+
+
+def _whole_or_parts(found: _Shared, spans: DataFrame) -> DataFrame:
+    """The spans of each row; a row whose text has a copy is one span."""
+    alone = found.owners.join(spans, "digest").select("id", "digest", "start", "end", "n")
+    copied = found.texts.where("copies > 1").select("digest")
+    whole = found.owners.join(copied, "digest", "left_semi").select("id", F.lit(0).alias("start"), F.col("n").alias("end"), "n")
     partly = alone.join(copied, "digest", "left_anti").select("id", "start", "end", "n")
     return whole.union(partly).select("id", "start", "end", F.col("n").alias("n_chars"))
 
 
+def maximal_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int = 240, anchor: int = ANCHOR) -> DataFrame:
+    """(id, start, end, n_chars): every maximal run of each text, of min_length characters or more, that stands verbatim in one other text.
+
+    A run is maximal if no longer run of the same text that holds it stands in another text; runs shared with different texts may overlap.
+    Rows, ids, copies and nulls are taken as in ``shared_spans``.
+    """
+    return _whole_or_parts(found := _shared(docs, id_col, text_col, min_length, anchor), _maximal(found, min_length))
+
+
+def _maximal(found: _Shared, min_length: int) -> DataFrame:
+    """Matches are extended without pairing texts.
+
+    1. A run can begin only at a window whose occurrences do not all follow the same character. 2. The occurrences of such a window are
+    sorted by what follows; the longest match of each is with its nearest neighbour of another text. 3. Runs inside a longer run are left out.
+    """
+    islands = found.stretches.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("islands"))
+    held = written(islands.join(found.texts.select("digest", F.col("rep").alias("id")), "digest"), "stretches")
+    windows = held.join(found.src, "id").select("digest", "islands", "text").mapInArrow(_positions(min_length), "digest long, wh long, before int, start int")
+    windows = written(windows, "positions")
+    per = windows.groupBy("wh").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("before").alias("b0"), F.max("before").alias("b1"))
+    begins = per.where("lo <> hi and (b0 <> b1 or b0 = -1)").select("wh")
+    starts = windows.join(begins, "wh", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("start", "wh")).alias("starts"))
+    again = held.join(starts, "digest").join(found.src, "id").select("digest", "islands", "starts", "text")
+    tails = again.mapInArrow(_tails(min_length), "wh long, digest long, start int, tail string")
+    runs = tails.repartition("wh").sortWithinPartitions("wh", "tail").mapInArrow(_longest(min_length), "digest long, start int, end int")
+    earlier = F.max("end").over(W.partitionBy("digest").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    return runs.withColumn("earlier", earlier).where("earlier is null or end > earlier").select("digest", "start", "end")
+
+
 def shared_share(docs: DataFrame, id_col: str, text_col: str, min_length: int = 240) -> DataFrame:
     """(id, n_chars, n_spans, shared_chars, share) for every row of docs with an id; 0 spans and share 0.0 where nothing is shared.
 
-    Null and empty texts have 0 characters and share 0.0.
+    n_spans counts maximal runs, which may overlap; shared_chars counts each character of their union once. Null and empty texts have 0 characters and share 0.0.
     """
-    spans = shared_spans(docs, id_col, text_col, min_length).groupBy("id").agg(
-        F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("shared_chars")
-    )
+    found = _shared(docs, id_col, text_col, min_length, ANCHOR)
+    covered = _whole_or_parts(found, found.stretches).groupBy("id").agg(F.sum(F.col("end") - F.col("start")).alias("shared_chars"))
+    runs = _whole_or_parts(found, _maximal(found, min_length)).groupBy("id").agg(F.count(F.lit(1)).alias("n_spans"))
+    spans = covered.join(runs, "id", "left")
     all_rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars")
     )

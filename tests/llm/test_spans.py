@@ -3,7 +3,7 @@ import random
 import pytest
 
 from quarrystone.llm import winnow
-from quarrystone.llm.spans import shared_share, shared_spans
+from quarrystone.llm.spans import maximal_spans, shared_share, shared_spans
 
 WORDS = [f"w{i}" for i in range(4000)]
 
@@ -113,3 +113,59 @@ def test_every_window_holds_an_anchor():
     h = winnow.RollingHash(text).all_windows(16)
     at = set(winnow.anchors(h, 20).tolist())
     assert all(any(p in at for p in range(s, s + 20)) for s in range(len(h) - 19))
+
+
+def brute_runs(docs, least):
+    """Maximal runs of each text that stand in another one, by growing each start as strings."""
+    texts = {}
+    for i, t in docs:
+        if t is not None and len(t) >= least:
+            texts.setdefault(t, []).append(i)
+    out = {}
+    for t, ids in texts.items():
+        others = [u for u in texts if u != t]
+        runs, e = [], 0
+        for s in range(len(t) - least + 1):
+            e, had = max(e, s + least - 1), e
+            while e < len(t) and any(t[s : e + 1] in u for u in others):
+                e += 1
+            if e - s >= least and e > had:
+                runs.append((s, e))
+        for i in ids:
+            if len(ids) > 1:
+                out[i] = [(0, len(t))]
+            elif runs:
+                out[i] = runs
+    return out
+
+
+def runs_of(spark, docs, least=60, anchor=24):
+    got = {}
+    for r in maximal_spans(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", least, anchor).collect():
+        got.setdefault(r.id, []).append((r.start, r.end))
+    return {k: sorted(v) for k, v in got.items()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_maximal_runs_against_growing(spark, seed):
+    rng = random.Random(seed)
+    block = [prose(rng, rng.randint(8, 30)) for _ in range(4)]
+    docs = []
+    for i in range(40):
+        parts = [prose(rng, rng.randint(0, 6))]
+        for _ in range(rng.randint(0, 3)):
+            b = rng.choice(block)
+            a = rng.randint(0, len(b) // 2)
+            parts += [b[a : a + rng.randint(20, len(b))], prose(rng, rng.randint(0, 3))]
+        docs.append((i, rng.choice(["", " ", "\n"]).join(parts)))
+    docs += [(100, docs[3][1]), (101, None), (102, ""), (103, "a" * 200), (104, "b" + "a" * 120), (105, "é–" * 90), (106, "x" + "é–" * 60), (107, "ab" * 50), (108, "ab" * 40 + "c")]
+    assert runs_of(spark, docs) == brute_runs(docs, 60)
+
+
+def test_neighbouring_repeats_of_two_texts_are_two_runs(spark):
+    rng = random.Random(5)
+    a, b = prose(rng, 30), prose(rng, 30)
+    docs = [(1, a + b), (2, "<" + a + ">" + prose(rng, 9)), (3, "[" + b + "]" + prose(rng, 9))]
+    assert runs_of(spark, docs)[1] == [(0, len(a)), (len(a), len(a + b))]
+    got = {r.id: (r.n_spans, r.share) for r in shared_share(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 140).collect()}
+    assert got[1] == (2, 1.0)
