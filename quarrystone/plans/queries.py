@@ -727,7 +727,7 @@ def citation_markers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    """What an answer's numbers stand for: the passages of its question's company in order of id, up to eight."""
+    """What an answer's numbers stand for: the passages of its question's company in order of id, only the first six; ``_cited_sources`` has all."""
     w = W.partitionBy("ticker").orderBy("chunk_id")
     p = passages(spark, d).where("ticker is not null").withColumn("marker", F.row_number().over(w).cast("long")).where("marker <= 6").select("ticker", "marker", "chunk_id")
     q = table(spark, d, "test_questions").select("question_id", F.upper("ticker").alias("ticker"))
@@ -745,6 +745,38 @@ def citation_resolution(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("marker").agg(F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("n_resolved"))
 
 
+#: Ids of one cell of the numbering.
+_CELL = 4096
+
+
+def _cited_sources(spark: SparkSession, d: str, cited: DataFrame) -> DataFrame:
+    """(answer_id, marker, chunk_id): the passages that the markers number among all of the company's, in order of id.
+
+    Numbers come from counted cells of ids, so a company with very many passages costs one cell per task; only cited numbers are joined to answers.
+    """
+    p = passages(spark, d).where("ticker is not null").select("ticker", "chunk_id", F.floor(F.col("chunk_id") / _CELL).alias("cell"))
+    counts = p.groupBy("ticker", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("ticker").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = p.withColumn("row", F.row_number().over(W.partitionBy("ticker", "cell").orderBy("chunk_id")))
+    numbered = inside.join(counts.select("ticker", "cell", before.alias("before")), ["ticker", "cell"]).select("ticker", (F.col("before") + F.col("row")).cast("long").alias("marker"), "chunk_id")
+    q = table(spark, d, "test_questions").select("question_id", F.upper("ticker").alias("ticker"))
+    g = table(spark, d, "generations").select(F.col("generation_id").alias("answer_id"), "question_id")
+    wanted = cited.select("answer_id", "marker").distinct().join(g, "answer_id").join(q, "question_id")
+    return wanted.join(numbered, ["ticker", "marker"]).select("answer_id", "marker", "chunk_id")
+
+
+@query(
+    "WITH m AS (SELECT generation_id AS answer_id, unnest(regexp_extract_all(coalesce(text, ''), '\\[(\\d{1,6})\\]', 1))::BIGINT AS marker FROM generations), p AS (SELECT upper(ticker) AS ticker, doc_id, row_number() OVER (PARTITION BY upper(ticker) ORDER BY doc_id) AS marker FROM documents WHERE ticker IS NOT NULL), "
+    "s AS (SELECT g.generation_id AS answer_id, p.marker, p.doc_id FROM generations g JOIN test_questions q USING (question_id) JOIN p ON p.ticker = upper(q.ticker)) "
+    "SELECT m.marker, count(*) AS n, count(s.doc_id) AS n_resolved FROM m LEFT JOIN s USING (answer_id, marker) GROUP BY 1"
+)
+def citation_resolution_whole(spark: SparkSession, d: str) -> DataFrame:
+    """citation_resolution over all passages of a company; that query keeps the six that its SQL states."""
+    cited = citation_markers(spark, d)
+    r = answering.resolve(cited, _cited_sources(spark, d, cited))
+    return r.groupBy("marker").agg(F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("n_resolved"))
+
+
 @query(
     "SELECT generation_id, CASE WHEN coalesce(answerable, false) AND len(list_filter(coalesce(sentences, []), lambda s: trim(coalesce(s.text, '')) <> '')) > 0 THEN array_to_string(list_transform(list_filter(sentences, lambda s: trim(coalesce(s.text, '')) <> ''), lambda s: trim(s.text) || CASE WHEN len(s.sources) > 0 THEN ' ' || array_to_string(list_transform(s.sources, lambda n: '[' || n || ']'), '') ELSE '' END), ' ') ELSE 'The filings do not answer this question.' END AS answer FROM generations"
 )

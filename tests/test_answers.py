@@ -111,3 +111,16 @@ def test_matrix(spark):
     parts = spark.createDataFrame([(1, 0, 5, 1), (1, 1, 3, 1)], "qid long, sub long, chunk_id long, rank long")
     got = {r.configuration: r.mrr_mean for r in answers.run_matrix(list(answers.MATRIX), lists, filtered, rel, rerank, parts).collect()}
     assert got == {"C0": 0.0, "C1": 0.0, "C2": 1.0, "C3": 0.5, "C4": 1.0, "C5": 0.333333, "C6": 0.5}
+
+
+def test_citations_beyond_the_sixth_resolve(spark, rows, tmp_path):
+    from quarrystone.plans import queries
+
+    d = str(tmp_path)
+    docs = [(i * 5000, "x", "alp" if i % 2 else "ALP", 2021, "1", "prose") for i in range(9)]  # several cells
+    spark.createDataFrame(docs, "doc_id long, text string, ticker string, fiscal_year int, item string, content_type string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "alp")], "question_id long, ticker string").write.parquet(f"{d}/test_questions.parquet")
+    spark.createDataFrame([(7, 1, "One [1] two [7][8] three [9][10].")], "generation_id long, question_id long, text string").write.parquet(f"{d}/generations.parquet")
+    assert rows(queries.citation_resolution_whole(spark, d)) == [(1, 1, 1), (10, 1, 0), (7, 1, 1), (8, 1, 1), (9, 1, 1)]
+    sources = queries._cited_sources(spark, d, queries.citation_markers(spark, d))
+    assert rows(sources) == [(7, 1, 0), (7, 7, 30000), (7, 8, 35000), (7, 9, 40000)]
