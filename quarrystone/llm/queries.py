@@ -12,7 +12,7 @@ from quarrystone.llm.neardup import NearDuplicates, near_duplicates
 from quarrystone.llm.packing import fill_report, pack
 from quarrystone.llm.pairs import broken_pairs, generation_pairs, question_pairs
 from quarrystone.llm.quality import text_verdicts
-from quarrystone.llm.spans import maximal_spans, shared_share, shared_spans
+from quarrystone.llm.spans import maximal_spans, shared_share
 from quarrystone.llm.splitting import split_oversized
 from quarrystone.llm.tokens import token_sizes
 from quarrystone.llm.truncation import truncated_values, truncation_rates
@@ -102,11 +102,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    spans = maximal_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
     return spans.select(F.col("id").alias("doc_id")).distinct()
 
 
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal repeats, each with one of the other documents that hold it."""
     return maximal_spans(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 

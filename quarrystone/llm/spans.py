@@ -17,7 +17,9 @@ from quarrystone.storage import spread, written
 #: Anchor length; every run of min_length characters holds an anchor chosen by its content alone.
 ANCHOR = 120
 
-_SEEDS = "id long, digest long, kind int, h long, c long, p0 int, p1 int"
+_SEEDS = "id long, digest long, kind int, h long, c long, l long, p0 int, p1 int"
+#: Uses of a window: to find what is shared around an open seed, or where a run may begin.
+OPEN, START = 1, 2
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -29,14 +31,16 @@ def _seeds(least: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests, kinds, hs, cs, p0s, p1s = [], [], [], [], [], [], []
+            ids, digests, kinds, hs, cs, ls, p0s, p1s = [], [], [], [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 roll = winnow.RollingHash(text)
                 if roll.n < least:
                     continue
                 grams = roll.all_windows(k)
                 at = winnow.anchors(grams, w)
-                context = roll.windows(np.maximum(at + k - least, 0), np.minimum(at + least, roll.n))
+                reach = np.maximum(at + k - least, 0)
+                context = roll.windows(reach, np.minimum(at + least, roll.n))
+                before = roll.windows(reach, at + k)
                 h = grams[at]
                 # a run of one repeated gram is one seed with a first and a last position
                 first = np.ones(len(at), dtype=bool)
@@ -50,6 +54,7 @@ def _seeds(least: int, k: int):
                 kinds.append(np.concatenate([[0], np.ones(n - 1, dtype=np.int32)]))
                 hs.append(np.concatenate([np.zeros(1, dtype=np.uint64), h[starts]]))
                 cs.append(np.concatenate([np.zeros(1, dtype=np.uint64), context[starts]]))
+                ls.append(np.concatenate([np.zeros(1, dtype=np.uint64), before[starts]]))
                 p0s.append(np.concatenate([[0], at[starts]]))
                 p1s.append(np.concatenate([[roll.n], at[ends]]))
             if ids:
@@ -60,17 +65,22 @@ def _seeds(least: int, k: int):
                         pa.array(np.concatenate(kinds).astype(np.int32)),
                         pa.array(_signed(np.concatenate(hs))),
                         pa.array(_signed(np.concatenate(cs))),
+                        pa.array(_signed(np.concatenate(ls))),
                         pa.array(np.concatenate(p0s).astype(np.int32)),
                         pa.array(np.concatenate(p1s).astype(np.int32)),
                     ],
-                    ["id", "digest", "kind", "h", "c", "p0", "p1"],
+                    ["id", "digest", "kind", "h", "c", "l", "p0", "p1"],
                 )
 
     return run
 
 
 def _windows(least: int, k: int):
-    """Hashes of the windows of ``least`` characters whose own anchor is one of the given seeds."""
+    """Windows of ``least`` characters around the seeds of a text, with the character before them (-1 at the beginning of the text) and their uses.
+
+    OPEN: windows whose own anchor is a seed marked ``o``. START: windows at which a run may begin; where all texts of an anchor agree on what leads up to it
+    (``same``) that is only the first window before it, elsewhere every window whose own anchor it is.
+    """
     w = least - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,21 +89,27 @@ def _windows(least: int, k: int):
                 if winnow.digest64(text) != digest & 0xFFFFFFFFFFFFFFFF:
                     continue  # another row of the same id
                 roll = winnow.RollingHash(text)
-                grams = roll.all_windows(k)
-                own = winnow._sliding(grams, w, np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF))
-                wanted = np.zeros(len(own), dtype=bool)
+                own = _signed(winnow._sliding(roll.all_windows(k), w, np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF)))
+                use = np.zeros(len(own), dtype=np.int8)
                 for s in seeds:
-                    wanted[max(s["p0"] + k - least, 0) : s["p1"] + 1] = True
-                hashes = np.array([s["h"] for s in seeds], dtype=np.int64).view(np.uint64)
-                at = np.flatnonzero(wanted & np.isin(own, hashes))
+                    low = max(s["p0"] + k - least, 0)
+                    if s["same"]:
+                        use[low : max(s["p1"] + k - least, 0) + 1] |= START
+                    if s["o"] or not s["same"]:
+                        mine = own[low : s["p1"] + 1] == s["h"]
+                        use[low : s["p1"] + 1] |= mine * np.int8(OPEN * s["o"] + START * (not s["same"]))
+                at = np.flatnonzero(use)
                 if len(at):
+                    before = np.concatenate([[-1], winnow.code_points(text).astype(np.int32)])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(at), digest, dtype=np.int64)),
                             pa.array(_signed(roll.windows(at, at + least))),
+                            pa.array(before[at].astype(np.int32)),
                             pa.array(at.astype(np.int32)),
+                            pa.array(use[at]),
                         ],
-                        ["digest", "wh", "start"],
+                        ["digest", "wh", "before", "start", "use"],
                     )
 
     return run
@@ -106,51 +122,30 @@ def _in_two(df: DataFrame, *key: str) -> DataFrame:
     )
 
 
-def _positions(least: int):
-    """Every window inside the given stretches of a text, with the character before it (-1 at the beginning of the text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for digest, islands, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if winnow.digest64(text) != digest & 0xFFFFFFFFFFFFFFFF:
-                    continue  # another row of the same id
-                roll = winnow.RollingHash(text)
-                before = np.concatenate([[-1], winnow.code_points(text).astype(np.int32)])
-                at = np.concatenate([np.arange(i["start"], i["end"] - least + 1) for i in islands])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(at), digest, dtype=np.int64)),
-                        pa.array(_signed(roll.windows(at, at + least))),
-                        pa.array(before[at].astype(np.int32)),
-                        pa.array(at.astype(np.int32)),
-                    ],
-                    ["digest", "wh", "before", "start"],
-                )
-
-    return run
-
-
 def _tails(least: int):
-    """What follows the windows at the given starts, up to the end of their stretch."""
+    """What follows the windows at the given starts, up to the end of their stretch, with its hash and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for digest, islands, starts, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if winnow.digest64(text) != digest & 0xFFFFFFFFFFFFFFFF:
                     continue
+                roll = winnow.RollingHash(text)
                 ends = {i["start"]: i["end"] for i in islands}
                 first = np.array(sorted(ends))
                 for some in (starts[i : i + 1000] for i in range(0, len(starts), 1000)):
-                    at = [x["start"] for x in some]
-                    stop = [ends[int(first[i])] for i in np.searchsorted(first, at, "right") - 1]
+                    at = np.array([x["start"] for x in some])
+                    stop = np.array([ends[int(first[i])] for i in np.searchsorted(first, at, "right") - 1])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([x["wh"] for x in some], pa.int64()),
+                            pa.array(_signed(roll.windows(at + least, stop))),
+                            pa.array((stop - at - least).astype(np.int32)),
                             pa.array([digest] * len(some), pa.int64()),
-                            pa.array(at, pa.int32()),
+                            pa.array(at.astype(np.int32)),
                             pa.array([text[a + least : e] for a, e in zip(at, stop)], pa.string()),
                         ],
-                        ["wh", "digest", "start", "tail"],
+                        ["wh", "th", "n", "digest", "start", "tail"],
                     )
 
     return run
@@ -168,58 +163,63 @@ def _agree(a: str, b: str) -> int:
     return low
 
 
-def _longest(least: int):
-    """Longest match of each window with another text, from rows sorted by (wh, tail): it is with the nearest row of another text above or below."""
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Longest match of each continuation with another text, from distinct (wh, tail) in order with the least and the greatest text that have it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # pending: (start, match with the text above, agreement with the row above) of the last rows of one text
-        pending: list[tuple[int, int, int]] = []
-        group = digest = None
-        tail = ""
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-
-            def close(below: int) -> None:
-                for start, above, step in reversed(pending):
-                    if (best := max(above, below)) >= 0:
-                        out.append((digest, start, start + least + best))
-                    below = min(below, step)
-                pending.clear()
-
-            for wh, d, start, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if wh != group:
-                    close(-1)
-                    group, above, step = wh, -1, -1
-                else:
-                    step = _agree(tail, t)
-                    if d != digest:
-                        close(step)
-                        above = step
-                    else:
-                        above = min(pending[-1][1], step)
-                digest, tail = d, t
-                pending.append((start, above, step))
-            if out:
-                yield _ends(out)
-        if pending:
-            yield _ends([(digest, start, start + least + above) for start, above, _ in pending if above >= 0])
-
-    return run
-
-
-def _ends(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["digest", "start", "end"])
+    Where two texts have it that is all of it, else it is with the nearest row that another text has. lo and hi become the texts matched.
+    """
+    # of the last rows of one text: hash, length, match with another text above, that text, agreement with the row above
+    pending: list[tuple[int, int, int, int | None, int]] = []
+    group = before = None
+    tail = ""
+
+    def close(below: int, other: int | None) -> Iterator[tuple]:
+        for th, n, above, held, step in reversed(pending):
+            if max(above, below) >= 0:
+                best, text = (above, held) if above >= below else (below, other)
+                yield group, th, n, best, text, text
+            below = min(below, step)
+        pending.clear()
+
+    for batch in batches:
+        out: list[tuple] = []
+        for wh, th, n, lo, hi, t in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if wh != group:
+                out += close(-1, None)
+                group, before, step = wh, None, -1
+            else:
+                step = _agree(tail, t)
+            if before is not None and before != (lo, hi) and pending:
+                out += close(step, lo if lo != before[0] else hi)
+            if lo != hi:
+                out.append((wh, th, n, n, lo, hi))
+            elif before is None:
+                pending.append((th, n, -1, None, -1))
+            elif before == (lo, hi):
+                pending.append((th, n, min(pending[-1][2], step), pending[-1][3], step))
+            else:
+                pending.append((th, n, step, before[0] if before[0] != lo else before[1], step))
+            before, tail = (lo, hi), t
+        if out:
+            yield _matches(out)
+    if out := list(close(-1, None)):
+        yield _matches(out)
+
+
+def _matches(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["wh", "th", "n", "best", "lo", "hi"])
 
 
 @dataclass(frozen=True)
 class _Shared:
-    """Texts, the rows that hold them, and the stretches of each text that shared windows cover."""
+    """Texts, the rows that hold them, the stretches of each text that shared windows cover, the windows looked at and the texts around seeds."""
 
-    src: DataFrame
     owners: DataFrame
     texts: DataFrame
     stretches: DataFrame
+    windows: DataFrame
+    near: DataFrame
 
 
 def shared_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int = 240, anchor: int = ANCHOR) -> DataFrame:
@@ -230,18 +230,20 @@ def shared_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int =
     text for the search and each of their ids is wholly shared. Null texts and texts shorter than min_length give no
     row; repetition inside one text does not count; rows of one id are taken as rows of their own,
     rows without an id are left out; extra columns are ignored; an empty table gives no row.
-
-    1. Each text of min_length or more gives its winnowed anchors, each with the hash of its whole context (all
-       windows of min_length that hold it). 2. Anchors held by two different texts are seeds (least and greatest
-       digest per anchor, so a hot anchor costs one row per task). 3. A seed whose whole context also stands in
-       another text is closed: all its windows are shared. 4. Only around the other, open seeds are windows hashed one
-       by one, each by the anchor that the window itself chooses, and matched the same way; of each closed context
-       with such an anchor two texts take part. No step lists the texts of an anchor together or pairs them.
     """
-    return _whole_or_parts(found := _shared(docs, id_col, text_col, min_length, anchor), found.stretches)
+    found = _shared(docs, id_col, text_col, min_length, anchor)
+    whole, partly = _whole_or_parts(found, found.stretches)
+    return whole.select(*_SPAN).union(partly.select(*_SPAN))
 
 
 def _shared(docs: DataFrame, id_col: str, text_col: str, min_length: int, anchor: int) -> _Shared:
+    """1. Each text of min_length or more gives its winnowed anchors, each with the hash of its whole context (all windows of min_length that
+    hold it) and of the part up to its end. 2. Anchors held by two different texts are seeds (least and greatest digest per anchor, so a
+    hot anchor costs one row per task). 3. A seed whose whole context also stands in another text is closed: all its windows
+    are shared. 4. Around the other, open seeds windows are hashed one by one, each by the anchor that the window itself chooses, and matched the same way; of
+    each closed context with such an anchor two texts take part. 5. In the same pass over the texts the windows are hashed at which a run may begin. No step
+    lists the texts of an anchor together or pairs them.
+    """
     if not 8 <= anchor <= min_length:
         raise ValueError("the anchor must have 8 to min_length characters")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(
@@ -251,24 +253,22 @@ def _shared(docs: DataFrame, id_col: str, text_col: str, min_length: int, anchor
     texts = base.where("kind = 0").groupBy("digest").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("p1").alias("n")
     )
-    seeds = base.where("kind = 1").select("id", "digest", "h", "c", "p0", "p1")
+    seeds = base.where("kind = 1").select("id", "digest", "h", "c", "l", "p0", "p1")
     near = seeds.join(_in_two(seeds, "h"), "h", "left_semi")
     one_per_text = near.join(texts.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
     near = written(one_per_text, "near")
-    contexts = near.groupBy("h", "c").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
-    state = written(near.join(contexts, ["h", "c"]).withColumn("open", F.col("lo") == F.col("hi")), "state")
+    contexts = near.groupBy("h", "c").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("l").alias("l0"), F.max("l").alias("l1"))
+    per_anchor = contexts.groupBy("h").agg((F.min("l0") == F.max("l1")).alias("same"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("any_open"))
+    state = near.drop("l").join(contexts.drop("l0", "l1"), ["h", "c"]).join(per_anchor, "h").withColumn("open", F.col("lo") == F.col("hi"))
+    state = written(state, "state")
     # a closed context may be what an open seed matches: two of its texts stand for it where its anchor has an open seed
-    stands = F.col("open") | F.col("digest").isin(F.col("lo"), F.col("hi"))
-    per_text = (
-        state.where(stands)
-        .join(state.where("open").select("h").distinct(), "h", "left_semi")
-        .groupBy("id", "digest")
-        .agg(F.collect_list(F.struct("h", "p0", "p1")).alias("seeds"))
-    )
+    o = F.col("open") | ((F.col("any_open") == 1) & F.col("digest").isin(F.col("lo"), F.col("hi")))
+    per_text = state.groupBy("id", "digest").agg(F.collect_list(F.struct("h", "p0", "p1", o.alias("o"), "same")).alias("seeds"))
     # one text per id even where an id repeats with other text: the digest settles which row was meant
-    again = per_text.join(src, "id").select("digest", "seeds", "text")
-    wins = written(again.mapInArrow(_windows(min_length, anchor), "digest long, wh long, start int"), "windows")
-    open_hits = wins.join(_in_two(wins, "wh"), "wh", "left_semi").select(
+    around = written(per_text.join(src, "id").select("digest", "seeds", "text"), "around")
+    wins = written(around.mapInArrow(_windows(min_length, anchor), "digest long, wh long, before int, start int, use byte"), "windows")
+    looked = wins.where(F.col("use").bitwiseAND(OPEN) > 0)
+    open_hits = looked.join(_in_two(looked, "wh"), "wh", "left_semi").select(
         "digest", F.col("start").alias("s"), (F.col("start") + min_length).alias("e")
     )
     closed_hits = state.where("not open").select(
@@ -287,45 +287,60 @@ def _shared(docs: DataFrame, id_col: str, text_col: str, min_length: int, anchor
     )
     owners = base.where("kind = 0").select("id", "digest", F.col("p1").alias("n"))
     stretches = joined.join(texts.select("digest", "n"), "digest").select("digest", "start", F.least("end", "n").alias("end"))
-    return _Shared(src, owners, texts, stretches)
+    return _Shared(owners, texts, written(stretches, "stretches"), wins, around)
+
 
+_SPAN = ("id", "start", "end", "n_chars")
 
-def _whole_or_parts(found: _Shared, spans: DataFrame) -> DataFrame:
-    """The spans of each row; a row whose text has a copy is one span."""
-    alone = found.owners.join(spans, "digest").select("id", "digest", "start", "end", "n")
-    copied = found.texts.where("copies > 1").select("digest")
-    whole = found.owners.join(copied, "digest", "left_semi").select("id", F.lit(0).alias("start"), F.col("n").alias("end"), "n")
-    partly = alone.join(copied, "digest", "left_anti").select("id", "start", "end", "n")
-    return whole.union(partly).select("id", "start", "end", F.col("n").alias("n_chars"))
+
+def _whole_or_parts(found: _Shared, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose text has a copy, each as one span with the least id of the others as ``other_id``; and the spans of the other rows."""
+    copied = found.texts.where("copies > 1")
+    ids = found.owners.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    other = F.when(F.col("id") == F.col("first"), F.nullif("last", "first")).otherwise(F.col("first"))
+    whole = found.owners.join(copied.select("digest"), "digest", "left_semi").join(ids, "digest").select(
+        "id", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("n").alias("n_chars"), other.alias("other_id")
+    )
+    partly = found.owners.join(spans, "digest").join(copied.select("digest"), "digest", "left_anti").withColumnRenamed("n", "n_chars")
+    return whole, partly
 
 
 def maximal_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int = 240, anchor: int = ANCHOR) -> DataFrame:
-    """(id, start, end, n_chars): every maximal run of each text, of min_length characters or more, that stands verbatim in one other text.
+    """(id, start, end, n_chars, other_id): every maximal run of each text, of min_length characters or more, that stands verbatim in the text of ``other_id``.
 
-    A run is maximal if no longer run of the same text that holds it stands in another text; runs shared with different texts may overlap.
-    Rows, ids, copies and nulls are taken as in ``shared_spans``.
+    A run is maximal if no longer run of the same text that holds it stands in another text; runs shared with different texts may overlap, and other_id is
+    one of the rows that hold the run. Rows, ids, copies and nulls are taken as in ``shared_spans``; other_id is null where a copy has the same id.
     """
-    return _whole_or_parts(found := _shared(docs, id_col, text_col, min_length, anchor), _maximal(found, min_length))
+    return _spans(_shared(docs, id_col, text_col, min_length, anchor), min_length)
+
+
+def _spans(found: _Shared, min_length: int) -> DataFrame:
+    whole, partly = _whole_or_parts(found, _maximal(found, min_length))
+    reps = found.texts.select(F.col("digest").alias("other"), F.col("rep").alias("other_id"))
+    return whole.union(partly.join(reps, "other").select(*whole.columns))
 
 
 def _maximal(found: _Shared, min_length: int) -> DataFrame:
-    """Matches are extended without pairing texts.
+    """(digest, start, end, other): matches are extended to the right without pairing texts.
 
-    1. A run can begin only at a window whose occurrences do not all follow the same character. 2. The occurrences of such a window are
-    sorted by what follows; the longest match of each is with its nearest neighbour of another text. 3. Runs inside a longer run are left out.
+    1. A run can begin only at a window whose occurrences do not all follow the same character. 2. What follows such windows is taken once per distinct
+    continuation, with the least and the greatest text that have it, and sorted; the longest match of each is with its nearest neighbour of
+    another text. 3. Runs inside a longer run are left out.
     """
-    islands = found.stretches.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("islands"))
-    held = written(islands.join(found.texts.select("digest", F.col("rep").alias("id")), "digest"), "stretches")
-    windows = held.join(found.src, "id").select("digest", "islands", "text").mapInArrow(_positions(min_length), "digest long, wh long, before int, start int")
-    windows = written(windows, "positions")
-    per = windows.groupBy("wh").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("before").alias("b0"), F.max("before").alias("b1"))
+    starts = found.windows.where(F.col("use").bitwiseAND(START) > 0)
+    per = starts.groupBy("wh").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("before").alias("b0"), F.max("before").alias("b1"))
     begins = per.where("lo <> hi and (b0 <> b1 or b0 = -1)").select("wh")
-    starts = windows.join(begins, "wh", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("start", "wh")).alias("starts"))
-    again = held.join(starts, "digest").join(found.src, "id").select("digest", "islands", "starts", "text")
-    tails = again.mapInArrow(_tails(min_length), "wh long, digest long, start int, tail string")
-    runs = tails.repartition("wh").sortWithinPartitions("wh", "tail").mapInArrow(_longest(min_length), "digest long, start int, end int")
+    starts = starts.join(begins, "wh", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("start", "wh")).alias("starts"))
+    islands = found.stretches.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("islands"))
+    again = found.near.join(islands.join(starts, "digest"), "digest").select("digest", "islands", "starts", "text")
+    tails = written(again.mapInArrow(_tails(min_length), "wh long, th long, n int, digest long, start int, tail string"), "tails")
+    distinct = tails.groupBy("wh", "th", "n").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.first("tail").alias("tail"))
+    ordered = distinct.repartition("wh").sortWithinPartitions("wh", "tail")
+    matched = ordered.mapInArrow(_longest, "wh long, th long, n int, best int, lo long, hi long")
+    other = F.when(F.col("lo") == F.col("digest"), F.col("hi")).otherwise(F.col("lo"))
+    runs = tails.drop("tail").join(matched, ["wh", "th", "n"]).select("digest", "start", (F.col("start") + min_length + F.col("best")).alias("end"), other.alias("other"))
     earlier = F.max("end").over(W.partitionBy("digest").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
-    return runs.withColumn("earlier", earlier).where("earlier is null or end > earlier").select("digest", "start", "end")
+    return runs.withColumn("earlier", earlier).where("earlier is null or end > earlier").select("digest", "start", "end", "other")
 
 
 def shared_share(docs: DataFrame, id_col: str, text_col: str, min_length: int = 240) -> DataFrame:
@@ -334,8 +349,9 @@ def shared_share(docs: DataFrame, id_col: str, text_col: str, min_length: int =
     n_spans counts maximal runs, which may overlap; shared_chars counts each character of their union once. Null and empty texts have 0 characters and share 0.0.
     """
     found = _shared(docs, id_col, text_col, min_length, ANCHOR)
-    covered = _whole_or_parts(found, found.stretches).groupBy("id").agg(F.sum(F.col("end") - F.col("start")).alias("shared_chars"))
-    runs = _whole_or_parts(found, _maximal(found, min_length)).groupBy("id").agg(F.count(F.lit(1)).alias("n_spans"))
+    whole, partly = _whole_or_parts(found, found.stretches)
+    covered = whole.select(*_SPAN).union(partly.select(*_SPAN)).groupBy("id").agg(F.sum(F.col("end") - F.col("start")).alias("shared_chars"))
+    runs = _spans(found, min_length).groupBy("id").agg(F.count(F.lit(1)).alias("n_spans"))
     spans = covered.join(runs, "id", "left")
     all_rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars")

@@ -143,10 +143,12 @@ def runs_of(spark, docs, least=60, anchor=24):
     got = {}
     for r in maximal_spans(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", least, anchor).collect():
         got.setdefault(r.id, []).append((r.start, r.end))
+        texts = dict(docs)
+        assert r.other_id != r.id and texts[r.id][r.start : r.end] in texts[r.other_id]
     return {k: sorted(v) for k, v in got.items()}
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(6))
 def test_maximal_runs_against_growing(spark, seed):
     rng = random.Random(seed)
     block = [prose(rng, rng.randint(8, 30)) for _ in range(4)]
