@@ -17,9 +17,7 @@ from quarrystone.storage import spread, written
 #: Anchor length; every run of min_length characters holds an anchor chosen by its content alone.
 ANCHOR = 120
 
-_SEEDS = "id long, digest long, kind int, h long, c long, l long, p0 int, p1 int"
-#: Uses of a window: to find what is shared around an open seed, or where a run may begin.
-OPEN, START = 1, 2
+_SEEDS = "id long, digest long, kind int, h long, l long, p0 int, p1 int"
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -31,20 +29,18 @@ def _seeds(least: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests, kinds, hs, cs, ls, p0s, p1s = [], [], [], [], [], [], [], []
+            ids, digests, kinds, hs, ls, p0s, p1s = [], [], [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 roll = winnow.RollingHash(text)
                 if roll.n < least:
                     continue
                 grams = roll.all_windows(k)
                 at = winnow.anchors(grams, w)
-                reach = np.maximum(at + k - least, 0)
-                context = roll.windows(reach, np.minimum(at + least, roll.n))
-                before = roll.windows(reach, at + k)
+                lead = roll.windows(np.maximum(at + k - least, 0), at + k)
                 h = grams[at]
                 # a run of one repeated gram is one seed with a first and a last position
                 first = np.ones(len(at), dtype=bool)
-                first[1:] = (at[1:] != at[:-1] + 1) | (h[1:] != h[:-1]) | (context[1:] != context[:-1])
+                first[1:] = (at[1:] != at[:-1] + 1) | (h[1:] != h[:-1]) | (lead[1:] != lead[:-1])
                 starts = np.flatnonzero(first)
                 ends = np.append(starts[1:], len(at)) - 1
                 n = len(starts) + 1
@@ -53,8 +49,7 @@ def _seeds(least: int, k: int):
                 digests.append(np.full(n, digest, dtype=np.uint64))
                 kinds.append(np.concatenate([[0], np.ones(n - 1, dtype=np.int32)]))
                 hs.append(np.concatenate([np.zeros(1, dtype=np.uint64), h[starts]]))
-                cs.append(np.concatenate([np.zeros(1, dtype=np.uint64), context[starts]]))
-                ls.append(np.concatenate([np.zeros(1, dtype=np.uint64), before[starts]]))
+                ls.append(np.concatenate([np.zeros(1, dtype=np.uint64), lead[starts]]))
                 p0s.append(np.concatenate([[0], at[starts]]))
                 p1s.append(np.concatenate([[roll.n], at[ends]]))
             if ids:
@@ -64,22 +59,21 @@ def _seeds(least: int, k: int):
                         pa.array(_signed(np.concatenate(digests))),
                         pa.array(np.concatenate(kinds).astype(np.int32)),
                         pa.array(_signed(np.concatenate(hs))),
-                        pa.array(_signed(np.concatenate(cs))),
                         pa.array(_signed(np.concatenate(ls))),
                         pa.array(np.concatenate(p0s).astype(np.int32)),
                         pa.array(np.concatenate(p1s).astype(np.int32)),
                     ],
-                    ["id", "digest", "kind", "h", "c", "l", "p0", "p1"],
+                    ["id", "digest", "kind", "h", "l", "p0", "p1"],
                 )
 
     return run
 
 
 def _windows(least: int, k: int):
-    """Windows of ``least`` characters around the seeds of a text, with the character before them (-1 at the beginning of the text) and their uses.
+    """Windows of ``least`` characters at which a run may begin, with the character before them (-1 at the beginning of the text) and how far a run can reach.
 
-    OPEN: windows whose own anchor is a seed marked ``o``. START: windows at which a run may begin; where all texts of an anchor agree on what leads up to it
-    (``same``) that is only the first window before it, elsewhere every window whose own anchor it is.
+    Where all texts of an anchor agree on what leads up to it (``same``) that is only the first window before it, elsewhere every window whose own anchor it is.
+    A run ends at the latest with the last of the windows, without a gap, whose own anchors are seeds.
     """
     w = least - k + 1
 
@@ -90,16 +84,17 @@ def _windows(least: int, k: int):
                     continue  # another row of the same id
                 roll = winnow.RollingHash(text)
                 own = _signed(winnow._sliding(roll.all_windows(k), w, np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF)))
-                use = np.zeros(len(own), dtype=np.int8)
+                start = np.zeros(len(own), dtype=bool)
                 for s in seeds:
                     low = max(s["p0"] + k - least, 0)
                     if s["same"]:
-                        use[low : max(s["p1"] + k - least, 0) + 1] |= START
-                    if s["o"] or not s["same"]:
-                        mine = own[low : s["p1"] + 1] == s["h"]
-                        use[low : s["p1"] + 1] |= mine * np.int8(OPEN * s["o"] + START * (not s["same"]))
-                at = np.flatnonzero(use)
+                        start[low : max(s["p1"] + k - least, 0) + 1] = True
+                    else:
+                        start[low : s["p1"] + 1] |= own[low : s["p1"] + 1] == s["h"]
+                seeded = np.isin(own, np.array([s["h"] for s in seeds], dtype=np.int64))
+                at = np.flatnonzero(start & seeded)
                 if len(at):
+                    gaps = np.append(np.flatnonzero(~seeded), len(own))
                     before = np.concatenate([[-1], winnow.code_points(text).astype(np.int32)])
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -107,35 +102,25 @@ def _windows(least: int, k: int):
                             pa.array(_signed(roll.windows(at, at + least))),
                             pa.array(before[at].astype(np.int32)),
                             pa.array(at.astype(np.int32)),
-                            pa.array(use[at]),
+                            pa.array((gaps[np.searchsorted(gaps, at)] + least - 1).astype(np.int32)),
                         ],
-                        ["digest", "wh", "before", "start", "use"],
+                        ["digest", "wh", "before", "start", "reach"],
                     )
 
     return run
 
 
-def _in_two(df: DataFrame, *key: str) -> DataFrame:
-    """Keys that two different texts hold; two running extremes instead of a list of holders."""
-    return (
-        df.groupBy(*key).agg(F.min("digest").alias("__lo"), F.max("digest").alias("__hi")).where("__lo <> __hi").select(*key)
-    )
-
-
 def _tails(least: int):
-    """What follows the windows at the given starts, up to the end of their stretch, with its hash and length."""
+    """What follows the windows at the given starts, as far as a run can reach, with its hash and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for digest, islands, starts, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for digest, starts, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if winnow.digest64(text) != digest & 0xFFFFFFFFFFFFFFFF:
                     continue
                 roll = winnow.RollingHash(text)
-                ends = {i["start"]: i["end"] for i in islands}
-                first = np.array(sorted(ends))
                 for some in (starts[i : i + 1000] for i in range(0, len(starts), 1000)):
-                    at = np.array([x["start"] for x in some])
-                    stop = np.array([ends[int(first[i])] for i in np.searchsorted(first, at, "right") - 1])
+                    at, stop = (np.array([x[c] for x in some]) for c in ("start", "reach"))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([x["wh"] for x in some], pa.int64()),
@@ -211,38 +196,63 @@ def _matches(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["wh", "th", "n", "best", "lo", "hi"])
 
 
+_SPAN = ("id", "start", "end", "n_chars", "other_id")
+
+
 @dataclass(frozen=True)
-class _Shared:
-    """Texts, the rows that hold them, the stretches of each text that shared windows cover, the windows looked at and the texts around seeds."""
+class _Found:
+    """The rows that hold each text (id, digest, n), texts (digest, rep, copies, n) and their maximal runs (digest, start, end, other)."""
 
     owners: DataFrame
     texts: DataFrame
-    stretches: DataFrame
-    windows: DataFrame
-    near: DataFrame
+    runs: DataFrame
+
+    def spans(self, runs: DataFrame) -> DataFrame:
+        """The runs of each row; a row whose text has a copy is one span, its other_id the least id of the other copies."""
+        copied = self.texts.where("copies > 1")
+        ids = self.owners.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+        other = F.when(F.col("id") == F.col("first"), F.nullif("last", "first")).otherwise(F.col("first"))
+        whole = self.owners.join(copied.select("digest"), "digest", "left_semi").join(ids, "digest").select(
+            "id", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("n").alias("n_chars"), other.alias("other_id")
+        )
+        reps = self.texts.select(F.col("digest").alias("other"), F.col("rep").alias("other_id"))
+        partly = self.owners.join(runs, "digest").join(copied.select("digest"), "digest", "left_anti").join(reps, "other").withColumnRenamed("n", "n_chars")
+        return whole.union(partly.select(*_SPAN))
+
+    def joined(self) -> DataFrame:
+        """Runs that overlap or touch as one stretch."""
+        by_start = W.partitionBy("digest").orderBy("start")
+        earlier = F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1))
+        island = F.sum(F.when(F.col("start") > F.col("earlier"), 1).otherwise(0)).over(by_start)
+        return self.runs.withColumn("earlier", earlier).withColumn("island", island).groupBy("digest", "island").agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other")
+        )
 
 
-def shared_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int = 240, anchor: int = ANCHOR) -> DataFrame:
-    """(id, start, end, n_chars): stretches of each text that are covered by runs of min_length characters or more of other rows.
+def maximal_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int = 240, anchor: int = ANCHOR) -> DataFrame:
+    """(id, start, end, n_chars, other_id): every maximal run of each text, of min_length characters or more, that stands verbatim in the text of ``other_id``.
 
-    Overlapping and touching shared windows of a text are joined into one stretch [start, end), so its parts may come from
-    different texts; ``maximal_spans`` has the runs that stand verbatim in one other text. Equal texts under several ids are one
-    text for the search and each of their ids is wholly shared. Null texts and texts shorter than min_length give no
-    row; repetition inside one text does not count; rows of one id are taken as rows of their own,
-    rows without an id are left out; extra columns are ignored; an empty table gives no row.
+    A run is maximal if no longer run of the same text that holds it stands in another text; runs shared with different texts may overlap, and other_id is
+    one of the rows that hold the run. Equal texts under several ids are one text for the search and each of their ids is wholly shared. Null texts and texts shorter than
+    min_length give no row; repetition inside one text does not count; rows of one id are taken as rows of their own, and
+    other_id is null where a copy has the same id; rows without an id are left out; extra columns are ignored; an empty table gives no row.
     """
-    found = _shared(docs, id_col, text_col, min_length, anchor)
-    whole, partly = _whole_or_parts(found, found.stretches)
-    return whole.select(*_SPAN).union(partly.select(*_SPAN))
-
-
-def _shared(docs: DataFrame, id_col: str, text_col: str, min_length: int, anchor: int) -> _Shared:
-    """1. Each text of min_length or more gives its winnowed anchors, each with the hash of its whole context (all windows of min_length that
-    hold it) and of the part up to its end. 2. Anchors held by two different texts are seeds (least and greatest digest per anchor, so a
-    hot anchor costs one row per task). 3. A seed whose whole context also stands in another text is closed: all its windows
-    are shared. 4. Around the other, open seeds windows are hashed one by one, each by the anchor that the window itself chooses, and matched the same way; of
-    each closed context with such an anchor two texts take part. 5. In the same pass over the texts the windows are hashed at which a run may begin. No step
-    lists the texts of an anchor together or pairs them.
+    found = _search(docs, id_col, text_col, min_length, anchor)
+    return found.spans(found.runs)
+
+
+def shared_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int = 240, anchor: int = ANCHOR) -> DataFrame:
+    """(id, start, end, n_chars): the union of the maximal runs of each row; parts of one stretch may come from different texts."""
+    found = _search(docs, id_col, text_col, min_length, anchor)
+    return found.spans(found.joined()).drop("other_id")
+
+
+def _search(docs: DataFrame, id_col: str, text_col: str, min_length: int, anchor: int) -> _Found:
+    """1. Each text of min_length or more gives its winnowed anchors, each with the hash of the window that ends with it. 2. Anchors held by two different texts are
+    seeds (least and greatest digest per anchor, so a hot anchor costs one row per task). 3. To the left, a run can begin only at a window whose occurrences do not
+    all follow the same character; such windows are looked for around the seeds. 4. To the right, what follows them is taken once per distinct continuation,
+    with the least and the greatest text that have it, and sorted: the longest match of each is with its nearest neighbour of another text.
+    5. Runs inside a longer run are left out. No step lists the texts of an anchor together or pairs them.
     """
     if not 8 <= anchor <= min_length:
         raise ValueError("the anchor must have 8 to min_length characters")
@@ -250,89 +260,23 @@ def _shared(docs: DataFrame, id_col: str, text_col: str, min_length: int, anchor
         F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= min_length)
     )
     base = written(spread(src).mapInArrow(_seeds(min_length, anchor), _SEEDS), "seeds")
-    texts = base.where("kind = 0").groupBy("digest").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("p1").alias("n")
+    owners = base.where("kind = 0").select("id", "digest", F.col("p1").alias("n"))
+    texts = owners.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
+    seeds = base.where("kind = 1").select("id", "digest", "h", "l", "p0", "p1")
+    per = seeds.groupBy("h").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("l").alias("l0"), F.max("l").alias("l1"))
+    held = per.where("lo <> hi").select("h", (F.col("l0") == F.col("l1")).alias("same"))
+    one_per_text = texts.select("digest", F.col("rep").alias("id"))
+    per_text = (
+        seeds.join(held, "h").join(one_per_text, ["digest", "id"], "left_semi")
+        .groupBy("id", "digest").agg(F.collect_list(F.struct("h", "p0", "p1", "same")).alias("seeds"))
     )
-    seeds = base.where("kind = 1").select("id", "digest", "h", "c", "l", "p0", "p1")
-    near = seeds.join(_in_two(seeds, "h"), "h", "left_semi")
-    one_per_text = near.join(texts.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
-    near = written(one_per_text, "near")
-    contexts = near.groupBy("h", "c").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("l").alias("l0"), F.max("l").alias("l1"))
-    per_anchor = contexts.groupBy("h").agg((F.min("l0") == F.max("l1")).alias("same"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("any_open"))
-    state = near.drop("l").join(contexts.drop("l0", "l1"), ["h", "c"]).join(per_anchor, "h").withColumn("open", F.col("lo") == F.col("hi"))
-    state = written(state, "state")
-    # a closed context may be what an open seed matches: two of its texts stand for it where its anchor has an open seed
-    o = F.col("open") | ((F.col("any_open") == 1) & F.col("digest").isin(F.col("lo"), F.col("hi")))
-    per_text = state.groupBy("id", "digest").agg(F.collect_list(F.struct("h", "p0", "p1", o.alias("o"), "same")).alias("seeds"))
     # one text per id even where an id repeats with other text: the digest settles which row was meant
     around = written(per_text.join(src, "id").select("digest", "seeds", "text"), "around")
-    wins = written(around.mapInArrow(_windows(min_length, anchor), "digest long, wh long, before int, start int, use byte"), "windows")
-    looked = wins.where(F.col("use").bitwiseAND(OPEN) > 0)
-    open_hits = looked.join(_in_two(looked, "wh"), "wh", "left_semi").select(
-        "digest", F.col("start").alias("s"), (F.col("start") + min_length).alias("e")
-    )
-    closed_hits = state.where("not open").select(
-        "digest", F.greatest(F.col("p0") + anchor - min_length, F.lit(0)).alias("s"), (F.col("p1") + min_length).alias("e")
-    )
-    by_start = W.partitionBy("digest").orderBy("s")
-    reach = F.max("e").over(by_start.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("s") > F.col("reach"), 1).otherwise(0)).over(by_start)
-    joined = (
-        open_hits.union(closed_hits)
-        .groupBy("digest", "s").agg(F.max("e").alias("e"))
-        .withColumn("reach", reach)
-        .withColumn("island", island)
-        .groupBy("digest", "island")
-        .agg(F.min("s").alias("start"), F.max("e").alias("end"))
-    )
-    owners = base.where("kind = 0").select("id", "digest", F.col("p1").alias("n"))
-    stretches = joined.join(texts.select("digest", "n"), "digest").select("digest", "start", F.least("end", "n").alias("end"))
-    return _Shared(owners, texts, written(stretches, "stretches"), wins, around)
-
-
-_SPAN = ("id", "start", "end", "n_chars")
-
-
-def _whole_or_parts(found: _Shared, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose text has a copy, each as one span with the least id of the others as ``other_id``; and the spans of the other rows."""
-    copied = found.texts.where("copies > 1")
-    ids = found.owners.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    other = F.when(F.col("id") == F.col("first"), F.nullif("last", "first")).otherwise(F.col("first"))
-    whole = found.owners.join(copied.select("digest"), "digest", "left_semi").join(ids, "digest").select(
-        "id", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("n").alias("n_chars"), other.alias("other_id")
-    )
-    partly = found.owners.join(spans, "digest").join(copied.select("digest"), "digest", "left_anti").withColumnRenamed("n", "n_chars")
-    return whole, partly
-
-
-def maximal_spans(docs: DataFrame, id_col: str, text_col: str, min_length: int = 240, anchor: int = ANCHOR) -> DataFrame:
-    """(id, start, end, n_chars, other_id): every maximal run of each text, of min_length characters or more, that stands verbatim in the text of ``other_id``.
-
-    A run is maximal if no longer run of the same text that holds it stands in another text; runs shared with different texts may overlap, and other_id is
-    one of the rows that hold the run. Rows, ids, copies and nulls are taken as in ``shared_spans``; other_id is null where a copy has the same id.
-    """
-    return _spans(_shared(docs, id_col, text_col, min_length, anchor), min_length)
-
-
-def _spans(found: _Shared, min_length: int) -> DataFrame:
-    whole, partly = _whole_or_parts(found, _maximal(found, min_length))
-    reps = found.texts.select(F.col("digest").alias("other"), F.col("rep").alias("other_id"))
-    return whole.union(partly.join(reps, "other").select(*whole.columns))
-
-
-def _maximal(found: _Shared, min_length: int) -> DataFrame:
-    """(digest, start, end, other): matches are extended to the right without pairing texts.
-
-    1. A run can begin only at a window whose occurrences do not all follow the same character. 2. What follows such windows is taken once per distinct
-    continuation, with the least and the greatest text that have it, and sorted; the longest match of each is with its nearest neighbour of
-    another text. 3. Runs inside a longer run are left out.
-    """
-    starts = found.windows.where(F.col("use").bitwiseAND(START) > 0)
-    per = starts.groupBy("wh").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("before").alias("b0"), F.max("before").alias("b1"))
-    begins = per.where("lo <> hi and (b0 <> b1 or b0 = -1)").select("wh")
-    starts = starts.join(begins, "wh", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("start", "wh")).alias("starts"))
-    islands = found.stretches.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("islands"))
-    again = found.near.join(islands.join(starts, "digest"), "digest").select("digest", "islands", "starts", "text")
+    wins = written(around.mapInArrow(_windows(min_length, anchor), "digest long, wh long, before int, start int, reach int"), "windows")
+    same = wins.groupBy("wh").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("before").alias("b0"), F.max("before").alias("b1"))
+    begins = same.where("lo <> hi and (b0 <> b1 or b0 = -1)").select("wh")
+    starts = wins.join(begins, "wh", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("start", "reach", "wh")).alias("starts"))
+    again = around.join(starts, "digest").select("digest", "starts", "text")
     tails = written(again.mapInArrow(_tails(min_length), "wh long, th long, n int, digest long, start int, tail string"), "tails")
     distinct = tails.groupBy("wh", "th", "n").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.first("tail").alias("tail"))
     ordered = distinct.repartition("wh").sortWithinPartitions("wh", "tail")
@@ -340,7 +284,8 @@ def _maximal(found: _Shared, min_length: int) -> DataFrame:
     other = F.when(F.col("lo") == F.col("digest"), F.col("hi")).otherwise(F.col("lo"))
     runs = tails.drop("tail").join(matched, ["wh", "th", "n"]).select("digest", "start", (F.col("start") + min_length + F.col("best")).alias("end"), other.alias("other"))
     earlier = F.max("end").over(W.partitionBy("digest").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
-    return runs.withColumn("earlier", earlier).where("earlier is null or end > earlier").select("digest", "start", "end", "other")
+    runs = runs.withColumn("earlier", earlier).where("earlier is null or end > earlier").select("digest", "start", "end", "other")
+    return _Found(owners, texts, written(runs, "runs"))
 
 
 def shared_share(docs: DataFrame, id_col: str, text_col: str, min_length: int = 240) -> DataFrame:
@@ -348,11 +293,10 @@ def shared_share(docs: DataFrame, id_col: str, text_col: str, min_length: int =
 
     n_spans counts maximal runs, which may overlap; shared_chars counts each character of their union once. Null and empty texts have 0 characters and share 0.0.
     """
-    found = _shared(docs, id_col, text_col, min_length, ANCHOR)
-    whole, partly = _whole_or_parts(found, found.stretches)
-    covered = whole.select(*_SPAN).union(partly.select(*_SPAN)).groupBy("id").agg(F.sum(F.col("end") - F.col("start")).alias("shared_chars"))
-    runs = _spans(found, min_length).groupBy("id").agg(F.count(F.lit(1)).alias("n_spans"))
-    spans = covered.join(runs, "id", "left")
+    found = _search(docs, id_col, text_col, min_length, ANCHOR)
+    covered = found.spans(found.joined()).groupBy("id").agg(F.sum(F.col("end") - F.col("start")).alias("shared_chars"))
+    counted = found.spans(found.runs).groupBy("id").agg(F.count(F.lit(1)).alias("n_spans"))
+    spans = covered.join(counted, "id", "left")
     all_rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars")
     )
