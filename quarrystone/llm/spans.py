@@ -270,8 +270,8 @@ def _search(docs: DataFrame, id_col: str, text_col: str, min_length: int, anchor
         seeds.join(held, "h").join(one_per_text, ["digest", "id"], "left_semi")
         .groupBy("id", "digest").agg(F.collect_list(F.struct("h", "p0", "p1", "same")).alias("seeds"))
     )
-    # one text per id even where an id repeats with other text: the digest settles which row was meant
-    around = written(per_text.join(src, "id").select("digest", "seeds", "text"), "around")
+    # one text per id even where an id repeats with other text: the digest settles which row was meant; the shuffles of the seeds can go before texts move
+    around = written(written(per_text, "near").join(src, "id").select("digest", "seeds", "text"), "around")
     wins = written(around.mapInArrow(_windows(min_length, anchor), "digest long, wh long, before int, start int, reach int"), "windows")
     same = wins.groupBy("wh").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.min("before").alias("b0"), F.max("before").alias("b1"))
     begins = same.where("lo <> hi and (b0 <> b1 or b0 = -1)").select("wh")
