@@ -15,7 +15,7 @@ from quarrystone.llm.quality import text_verdicts
 from quarrystone.llm.spans import maximal_spans, shared_share
 from quarrystone.llm.splitting import split_oversized
 from quarrystone.llm.tokens import token_sizes
-from quarrystone.llm.truncation import truncated_values, truncation_rates
+from quarrystone.llm.truncation import prefix_values, truncated_values, truncation_rates
 from quarrystone.storage import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def p4_truncation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(truncated_values(table(spark, sf_dir, "generations")))
 
 
+def p4_longer_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix search by itself: values that are a strict prefix of another one."""
+    return prefix_values(table(spark, sf_dir, "generations"))
+
+
 def _similar_sections(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     return near_duplicates(table(spark, sf_dir, "sections"), "section_key", "text", words=3, threshold=0.6, least_words=60)
 
@@ -115,13 +120,17 @@ def p8_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p3_found": p3_found, "p3_defects": p3_defects, "p4_found": p4_found, "p4_truncation_rates": p4_truncation_rates, "p5_found": p5_found, "p5_groups": p5_groups, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_spans": p8_spans, "p8_shared_share": p8_shared_share}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_passages": p1_passages, "p2_found": p2_found, "p2_text_statistics": p2_text_statistics, "p3_found": p3_found, "p3_defects": p3_defects, "p4_found": p4_found, "p4_truncation_rates": p4_truncation_rates, "p4_longer_copies": p4_longer_copies, "p5_found": p5_found, "p5_groups": p5_groups, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_spans": p8_spans, "p8_shared_share": p8_shared_share}
 SQL: dict[str, str] = {
     "p1_found": (
         "SELECT section_key, CASE WHEN list_max(list_transform(regexp_split_to_array(text, "
         "'[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: length(x))) > 1800 THEN 'hard' ELSE 'boundary' END AS cut "
         "FROM sections WHERE length(text) > 1800"
     ),
+    "p4_longer_copies": (
+        "WITH v AS (SELECT generation_id, 'raw' AS field, raw AS value FROM generations UNION ALL SELECT generation_id, 'text', text FROM generations), u AS (SELECT DISTINCT value, length(value) AS n FROM v WHERE value <> ''), "
+        "c AS (SELECT DISTINCT a.value FROM u a JOIN u b ON substr(a.value, 1, 1) = substr(b.value, 1, 1) AND b.n > a.n AND starts_with(b.value, a.value)) SELECT generation_id, field FROM v JOIN c USING (value)"
+    ),
     "p5_found": (
         "WITH w AS (SELECT section_key, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM sections), "
         "s AS (SELECT DISTINCT section_key, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 60), "

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +16,24 @@ from quarrystone.llm.pairs import PLACEHOLDERS
 from quarrystone.storage import written
 
 
+#: What a truncated value is recognised by.
+REASONS = ("longer_copy", "open_structure", "ending")
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each value of a task once, so that one that many rows have moves once per task; eight bytes are kept per value of the task."""
+    seen: set[int] = set()
+    for batch in batches:
+        keep = []
+        for value in batch.column(0).to_pylist():
+            digest = xxhash.xxh3_64_intdigest(value)
+            keep.append(digest not in seen)
+            seen.add(digest)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted distinct values: what a value's successor adds when it begins with the value. First and last value are marked."""
+    """Of sorted values: what the next other value adds when it begins with the value. First and last value are marked."""
     held, first = None, True
     out: list[tuple] = []
 
@@ -29,6 +46,8 @@ def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if first:
                 out.append((value, None, "first"))
                 first = False
+            elif value == held:
+                continue
             elif value.startswith(held):
                 out.append((held, value[len(held) : len(held) + 40], None))
             held = value
@@ -40,28 +59,31 @@ def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def value_keys(value: Column) -> list[Column]:
+    """Two hashes that together stand for a value, so that values are looked up without moving them."""
+    return [F.xxhash64(value).alias("k1"), F.xxhash64(F.lit("value"), value).alias("k2")]
+
+
 def longer_copies(values: DataFrame, column: str) -> DataFrame:
-    """(value, rest): each distinct value that is a strict prefix of another, with up to 40 characters of what the next one adds.
+    """(k1, k2, rest): the keys (``value_keys``) of each distinct value that is a strict prefix of another, with up to 40 characters of what the next one adds.
 
     Sorted by code points, a value that is a prefix of any other is a prefix of its successor, so one range partitioning
-    and a look at neighbours finds them all, however many values share a beginning. The two neighbours across a
+    and a look at neighbours finds them all, however many values share a beginning. Values move once, repeats only once per task. The two neighbours across a
     partition's edge are compared in a table of two rows per partition. Null and empty values are left out.
     """
     spark = values.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    distinct = values.select(F.col(column).alias("value")).where("value is not null and value <> ''").distinct()
-    seen = written(
-        distinct.repartitionByRange(parts, "value").sortWithinPartitions("value").mapInArrow(_followers, "value string, rest string, edge string"),
-        "followers",
-    )
-    inside = seen.where("edge is null").select("value", "rest")
+    once = values.select(F.col(column).alias("value")).where("value is not null and value <> ''").mapInArrow(_once, "value string")
+    found = once.repartitionByRange(parts, "value").sortWithinPartitions("value").mapInArrow(_followers, "value string, rest string, edge string")
+    seen = written(found.select(*value_keys(F.col("value")), "rest", "edge", F.when(F.col("edge").isNotNull(), F.col("value")).alias("value")), "followers")
+    inside = seen.where("edge is null").select("k1", "k2", "rest")
     # two rows per partition
     edges = seen.where("edge is not null").withColumn("kind", F.when(F.col("edge") == "first", 0).otherwise(1))
     after = F.lead("value").over(W.partitionBy(F.lit(0)).orderBy("value", "kind"))
     across = (
         edges.withColumn("next", after)
         .where((F.col("edge") == "last") & F.col("next").isNotNull() & (F.length("next") > F.length("value")) & F.startswith("next", F.col("value")))
-        .select("value", F.expr("substring(next, length(value) + 1, 40)").alias("rest"))
+        .select("k1", "k2", F.expr("substring(next, length(value) + 1, 40)").alias("rest"))
     )
     return inside.union(across).distinct()
 
@@ -135,32 +157,43 @@ def truncated_values(generations: DataFrame) -> DataFrame:
     values = base.select(
         "generation_id", "provider", "model", F.explode(F.array(F.struct(F.lit("raw").alias("field"), F.col("raw").alias("value")), F.struct(F.lit("text").alias("field"), F.col("text").alias("value")))).alias("v")
     ).select("generation_id", "provider", "model", "v.field", "v.value")
-    everything = base.select(F.explode(F.array(F.rtrim("raw"), "text", "shown", _stripped(F.col("raw")))).alias("value"))
-    copies = longer_copies(everything, "value").select(F.xxhash64("value").alias("key"), F.col("value").alias("copy_of"), "rest")
+    everything = base.select(F.explode(F.array_distinct(F.array(F.rtrim("raw"), "text", "shown", _stripped(F.col("raw"))))).alias("value"))
+    copies = longer_copies(everything, "value")
     keys = ["generation_id", "provider", "model", "field"]
     is_raw = F.col("field") == "raw"
     # in steps, so that each costly expression is computed once and stays small enough to be compiled
     parts = computed_once(
         values, [*keys, "value"], {"cut": F.when(is_raw, _stripped(F.col("value"))).otherwise(F.coalesce("value", F.lit(""))), **{k: F.when(is_raw, c) for k, c in structure_parts(F.col("value")).items()}}
     )
-    looked = computed_once(parts, [*keys, "value", "cut"], {"state": F.when(is_raw, structure_state(F.col("value"))).otherwise("plain")}).withColumn("key", F.xxhash64("cut"))
-    joined = looked.join(copies, (looked["key"] == copies["key"]) & (looked["cut"] == copies["copy_of"]), "left").drop(copies["key"])
+    k1, k2 = value_keys(F.col("cut"))
+    looked = computed_once(parts, [*keys, "value", "cut"], {"state": F.when(is_raw, structure_state(F.col("value"))).otherwise("plain"), "k1": k1, "k2": k2})
     # values whose structure decides need no look at how they end
     reads = ~F.col("state").isin("closed", "blank", "open")
-    flat = computed_once(joined, [*keys, "state", "rest"], {"flat": F.when(reads, clean(F.col("cut"))), "noted": reads & is_raw & _note(F.col("value"))})
-    tails = computed_once(flat, [*keys, "state", "rest", "flat", "noted"], {"tail": without_citations(F.col("flat")), "marker": _marker(F.col("flat")), "nothing": _says_nothing(F.col("flat"))})
+    flat = computed_once(looked, [*keys, "k1", "k2", "state"], {"flat": F.when(reads, clean(F.col("cut"))), "noted": reads & is_raw & _note(F.col("value"))})
+    tails = computed_once(flat, [*keys, "k1", "k2", "state", "flat", "noted"], {"tail": without_citations(F.col("flat")), "marker": _marker(F.col("flat")), "nothing": _says_nothing(F.col("flat"))})
+    ends = computed_once(
+        tails, [*keys, "k1", "k2", "state"],
+        {"figure": is_figure(F.col("tail")), "whole": ~reads | (F.col("nothing") & ~F.col("marker")), "stops": F.col("marker") | F.col("noted") | ~ends_whole(F.col("tail"))},
+    )
+    # only hashes and what was read of a value are joined to its copies
+    joined = ends.join(copies, ["k1", "k2"], "left")
     found_copy = F.col("rest").isNotNull()
-    judged = computed_once(
-        tails,
-        keys,
-        {
-            "reason": F.when(F.col("state") == "open", F.when(found_copy, "longer_copy").otherwise("open_structure"))
-            .when(~reads | (F.col("nothing") & ~F.col("marker")), F.lit(None))
-            .when(_goes_on(F.col("rest")) & ~is_figure(F.col("tail")), "longer_copy")
-            .when(F.col("marker") | F.col("noted") | ~ends_whole(F.col("tail")), F.when(found_copy, "longer_copy").otherwise("ending"))
-        },
+    judged = joined.select(
+        *keys,
+        F.when(F.col("state") == "open", F.when(found_copy, "longer_copy").otherwise("open_structure"))
+        .when(F.col("whole"), F.lit(None))
+        .when(_goes_on(F.col("rest")) & ~F.col("figure"), "longer_copy")
+        .when(F.col("stops"), F.when(found_copy, "longer_copy").otherwise("ending"))
+        .alias("reason"),
     )
-    return judged.select("generation_id", "provider", "model", "field", F.col("reason").isNotNull().alias("truncated"), "reason")
+    return judged.withColumn("truncated", F.col("reason").isNotNull()).select(*keys, "truncated", "reason")
+
+
+def prefix_values(generations: DataFrame) -> DataFrame:
+    """(generation_id, field) of the raw and text values that are a strict prefix of another one; nothing else is looked at."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("raw", "text")])
+    values = generations.select("generation_id", F.explode(fields).alias("v")).select("generation_id", "v.*").where("value <> ''")
+    return values.select("generation_id", "field", *value_keys(F.col("value"))).join(longer_copies(values, "value"), ["k1", "k2"]).select("generation_id", "field")
 
 
 def _note(raw: Column) -> Column:
@@ -169,10 +202,10 @@ def _note(raw: Column) -> Column:
 
 
 def truncation_rates(values: DataFrame) -> DataFrame:
-    """Values and truncated values by provider (trimmed, lower case, 'unknown' where null) and model, per field."""
+    """Values and truncated values by provider (trimmed, lower case, 'unknown' where null) and model, per field, and how many were recognised by what."""
     source = F.coalesce(F.nullif(F.lower(F.trim("provider")), F.lit("")), F.lit("unknown"))
     return (
         values.groupBy(source.alias("provider"), F.coalesce("model", F.lit("unknown")).alias("model"), "field")
-        .agg(F.count(F.lit(1)).alias("n_values"), F.count_if("truncated").alias("n_truncated"))
+        .agg(F.count(F.lit(1)).alias("n_values"), F.count_if("truncated").alias("n_truncated"), *[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in REASONS])
         .withColumn("truncated_share", F.round(F.col("n_truncated") / F.col("n_values"), 6))
     )
