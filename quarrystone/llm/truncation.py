@@ -64,7 +64,7 @@ def value_keys(value: Column) -> list[Column]:
     return [F.xxhash64(value).alias("k1"), F.xxhash64(F.lit("value"), value).alias("k2")]
 
 
-def longer_copies(values: DataFrame, column: str) -> DataFrame:
+def longer_copy_keys(values: DataFrame, column: str) -> DataFrame:
     """(k1, k2, rest): the keys (``value_keys``) of each distinct value that is a strict prefix of another, with up to 40 characters of what the next one adds.
 
     Sorted by code points, a value that is a prefix of any other is a prefix of its successor, so one range partitioning
@@ -88,6 +88,12 @@ def longer_copies(values: DataFrame, column: str) -> DataFrame:
     return inside.union(across).distinct()
 
 
+def longer_copies(values: DataFrame, column: str) -> DataFrame:
+    """(value, rest): longer_copy_keys with the values themselves, each once."""
+    held = values.select(F.col(column).alias("value")).where("value <> ''").distinct()
+    return held.select("value", *value_keys(F.col("value"))).join(longer_copy_keys(values, column), ["k1", "k2"]).select("value", "rest")
+
+
 def _stripped(raw: Column) -> Column:
     """Without what is put after a cut: white space, a closing fence, an ellipsis, a note that something was cut."""
     tail = r"(?:\s|```|…|\.{3,}|\[(?:truncated|cut|\.\.\.|…)\]|<truncated>)+$"
@@ -158,7 +164,7 @@ def truncated_values(generations: DataFrame) -> DataFrame:
         "generation_id", "provider", "model", F.explode(F.array(F.struct(F.lit("raw").alias("field"), F.col("raw").alias("value")), F.struct(F.lit("text").alias("field"), F.col("text").alias("value")))).alias("v")
     ).select("generation_id", "provider", "model", "v.field", "v.value")
     everything = base.select(F.explode(F.array_distinct(F.array(F.rtrim("raw"), "text", "shown", _stripped(F.col("raw"))))).alias("value"))
-    copies = longer_copies(everything, "value")
+    copies = longer_copy_keys(everything, "value")
     keys = ["generation_id", "provider", "model", "field"]
     is_raw = F.col("field") == "raw"
     # in steps, so that each costly expression is computed once and stays small enough to be compiled
@@ -193,7 +199,7 @@ def prefix_values(generations: DataFrame) -> DataFrame:
     """(generation_id, field) of the raw and text values that are a strict prefix of another one; nothing else is looked at."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("raw", "text")])
     values = generations.select("generation_id", F.explode(fields).alias("v")).select("generation_id", "v.*").where("value <> ''")
-    return values.select("generation_id", "field", *value_keys(F.col("value"))).join(longer_copies(values, "value"), ["k1", "k2"]).select("generation_id", "field")
+    return values.select("generation_id", "field", *value_keys(F.col("value"))).join(longer_copy_keys(values, "value"), ["k1", "k2"]).select("generation_id", "field")
 
 
 def _note(raw: Column) -> Column:
