@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,14 +28,23 @@ STARTERS = (
 )
 
 
+#: What ends a sentence, what may close after it, and marks put where something was cut.
+STOPS, CLOSERS = (".", "!", "?", "。", "！", "？"), "\"'”’»)]"
+CUT_MARKS = ("[…]", "[...]", "[truncated]", "[cut]", "[continued]", "<truncated>")
+
+
 def clean(text: Column) -> Column:
-    """Without invisible characters, with single spaces, trimmed; null becomes empty."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), INVISIBLE, ""), SPACES, " "))
+    """Without invisible characters, with single spaces, trimmed; null becomes empty. Plain texts are not rewritten."""
+    t = F.coalesce(text, F.lit(""))
+    odd = F.octet_length(t) != F.length(t)
+    for c in ("\n", "\t", "\r", "  ", "\u000b", "\f"):
+        odd = odd | F.contains(t, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(F.regexp_replace(t, INVISIBLE, ""), SPACES, " ")).otherwise(t))
 
 
 def without_citations(text: Column) -> Column:
     """Without whole citation markers such as [3] or [1, 4] at the end."""
-    return F.trim(F.regexp_replace(text, r"(?:\s*\[\d{1,4}(?:\s*[,;–-]\s*\d{1,4})*\])+\s*$", ""))
+    return F.trim(F.when(F.endswith(F.rtrim(text), F.lit("]")), F.regexp_replace(text, r"(?:\s*\[\d{1,4}(?:\s*[,;–-]\s*\d{1,4})*\])+\s*$", "")).otherwise(text))
 
 
 _UNIT = r"(?i:%|percent|per cent|million|millions|billion|billions|thousand|bn|m|mn|k|mio|mrd|millionen|milliarden|millones|mil|milliards|usd|eur|euro|euros|dollars|bps|x|years?|days?|shares?|d'euros|de euros|of)"
@@ -54,13 +66,17 @@ def is_name(text: Column) -> Column:
 
 def ends_whole(text: Column) -> Column:
     """A sentence end, a bare figure or names. ``text`` is clean and without citations at its end; empty texts are whole."""
-    stop = text.rlike(r"[.!?。！？][\"'”’»)\]]*$")
-    ellipsis = text.rlike(r"(?:\.\.\.?|…|\[(?:…|\.\.\.|truncated|cut|continued)\]|<truncated>)$")
-    abbreviated = text.rlike(r"(?:^|[\s(])(?:" + "|".join(ABBREVIATIONS.split()) + r"|\p{Lu}(?:\.\p{Lu})?)\.$")
+    # what only concerns the last characters looks at them alone
+    last = lambda n: F.right(text, F.lit(n))
+    ends = lambda *signs: reduce(or_, [F.endswith(text, F.lit(x)) for x in signs])
+    stop = F.right(F.rtrim(text, F.lit(CLOSERS)), F.lit(1)).isin(*STOPS)
+    ellipsis = ends("..", "…", *CUT_MARKS)
+    abbreviated = ends(".") & last(16).rlike(r"(?:^|[\s(])(?:" + "|".join(ABBREVIATIONS.split()) + r"|\p{Lu}(?:\.\p{Lu})?)\.$")
     # a decimal part or the rest of a thousands group is missing: amounts below ten thousand are never written out in full
-    split_number = text.rlike(r"[$€£]\d{1,3}\.$|[$€£]\d,\d{3}\.$") & ~is_figure(text)
+    split_number = ends(".") & last(8).rlike(r"[$€£]\d{1,3}\.$|[$€£]\d,\d{3}\.$") & ~is_figure(text)
     # an opening sign after which neither its closing sign nor the end of a sentence before another one comes
-    unclosed = text.rlike(r"\((?:[^()]|\([^()]*\))*$|“[^”]*$|«[^»]*$") & ~text.rlike(r"[(“«](?:[^)”»]*)[.!?]\s+[\p{Lu}(“«¿¡][^(“«]*$")
+    opened = reduce(or_, [F.contains(text, F.lit(c)) for c in "(“«"])
+    unclosed = opened & text.rlike(r"\((?:[^()]|\([^()]*\))*$|“[^”]*$|«[^»]*$") & ~text.rlike(r"[(“«](?:[^)”»]*)[.!?]\s+[\p{Lu}(“«¿¡][^(“«]*$")
     sentence = stop & ~ellipsis & ~abbreviated & ~split_number & ~unclosed
     return (text == "") | sentence | (~ellipsis & (is_figure(text) | (is_name(text) & ~unfinished_name(text))))
 

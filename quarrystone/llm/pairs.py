@@ -54,6 +54,14 @@ APOLOGIES = (
     r"désolée?|malheureusement|je regrette|lo siento|lamentablemente|por desgracia|lo lamento)\b"
 )
 
+#: Someone who reports and what is reported stand after an apology that introduces an answer: "Unfortunately, the company lost two plants".
+REPORTS = (
+    r"\b(?:we|our|(?:the |its )?(?:company|group|registrant|management|board|revenues?|sales|earnings|income|margins?|costs?|demand|segment|business)|wir|unser[e]?|das unternehmen|der konzern|die gesellschaft|"
+    r"nous|notre|la société|le groupe|l'entreprise|nosotros|nuestr[oa]s?|la empresa|la compañía|el grupo)\s+(?:also |again |still )?"
+    r"(?:had|has|have|lost|saw|fell|rose|grew|declined|decreased|increased|dropped|reported|recorded|recognized|closed|paid|was|were|is|are|did|made|took|incurred|suffered|"
+    r"hat|haben|verlor(?:en)?|sank(?:en)?|stieg(?:en)?|war(?:en)?|ist|sind|musste[n]?|a|ont|était|étaient|est|sont|avons|perdi[óo]|cay[óo]|creci[óo]|fue(?:ron)?|es|son|tuv[oi])\b"
+)
+
 #: Frames put around a question, and words that differ between two ways of writing it.
 FRAMES = (
     r"^(?:(?:the )?question(?: is)?|you asked|you ask|your question(?: was| is)?|please tell me|briefly|from the annual report|in short|q|"
@@ -83,9 +91,14 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}']+", " "), " "), lambda w: w != "")
 
 
-def language_scores(words: Column) -> Column:
-    """Struct of the words of each language among ``words`` and of all of them, n."""
-    return F.struct(*[_known(words, listed).alias(k) for k, listed in LANGUAGE_WORDS.items()], F.size(words).alias("n"))
+def _listed(words: Column) -> Column:
+    """Those of the words that any language claims."""
+    return F.filter(words, lambda w: w.isin(*sorted({x for listed in LANGUAGE_WORDS.values() for x in listed.split()})))
+
+
+def language_scores(listed: Column, n: Column) -> Column:
+    """Struct of the words of each language among ``listed`` and of all words, n."""
+    return F.struct(*[_known(listed, words).alias(k) for k, words in LANGUAGE_WORDS.items()], n.alias("n"))
 
 
 def _language(scores: str) -> Column:
@@ -128,7 +141,7 @@ def _refuses(low: Column) -> Column:
         declines = declines | low.rlike(pattern)
     quoted = low.rlike(r"^(?:the (?:filing|report|company|note)|management|according to)\b") & ~low.rlike(APOLOGIES)
     figure = low.rlike(r"\d[\d.,]* ?(?:%|million|billion|mio|millions|millones)")
-    return (low.rlike(REFUSAL_HINTS) & declines & ~quoted) | (low.rlike(APOLOGIES) & (F.length(low) < 200) & ~figure)
+    return (low.rlike(REFUSAL_HINTS) & declines & ~quoted) | (low.rlike(APOLOGIES) & ~figure & ~low.rlike(REPORTS))
 
 
 def broken_pairs(pairs: DataFrame) -> DataFrame:
@@ -145,14 +158,20 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
         keys,
         {
             "said": clean(F.col("answer")),
-            "tail": without_citations(clean(F.col("last_sentence"))),
-            "q": _core(clean(F.col("question"))),
+            # a value of one sentence is read once
+            "last": F.when(~F.col("last_sentence").eqNullSafe(F.col("answer")), clean(F.col("last_sentence"))),
+            "asked": clean(F.col("question")),
             "words_q": _words(F.col("question")),
             "script_q": script(F.col("question")),
         },
     )
+    first = computed_once(
+        first,
+        [*keys, "said", "words_q", "script_q"],
+        {"tail": without_citations(F.coalesce("last", "said")), "q": _core(F.col("asked")), "listed_q": _listed(F.col("words_q"))},
+    )
     bare = F.trim(F.regexp_replace("said", r"\[\d{1,4}(?:\s*[,;–-]\s*\d{1,4})*\]", ""))
-    second = computed_once(first, [*keys, "tail", "q", "script_q"], {"bare": bare, "shown": without_citations(F.col("said")), "scores_q": language_scores(F.col("words_q"))})
+    second = computed_once(first, [*keys, "tail", "q", "script_q"], {"bare": bare, "shown": without_citations(F.col("said")), "scores_q": language_scores(F.col("listed_q"), F.size("words_q"))})
     third = computed_once(
         second,
         [*keys, "tail", "q", "bare", "script_q", "scores_q"],
@@ -168,10 +187,13 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
         [*keys, "tail", "q", "a", "bare", "script_q", "scores_q", "spoken"],
         {"shell": shell, "refusal": F.col("spoken") & _refuses(F.col("low")), "words_a": F.when(F.col("spoken"), _words(F.col("bare"))), "script_a": script(F.col("bare"))},
     )
+    fourth = computed_once(
+        fourth, [*keys, "q", "a", "bare", "shell", "script_q", "script_a", "scores_q", "spoken", "refusal", "words_a"], {"listed_a": _listed(F.col("words_a")), "truncated": ~ends_whole(F.col("tail"))}
+    )
     fifth = computed_once(
         fourth,
-        [*keys, "q", "a", "bare", "shell", "script_q", "script_a", "scores_q", "spoken", "refusal"],
-        {"scores_a": language_scores(F.col("words_a")), "truncated": ~ends_whole(F.col("tail"))},
+        [*keys, "q", "a", "bare", "shell", "script_q", "script_a", "scores_q", "spoken", "refusal", "truncated"],
+        {"scores_a": language_scores(F.col("listed_a"), F.size("words_a"))},
     )
     # the same placeholder once per sentence is still one
     once = F.regexp_replace("shell", r"^(.{1,40}?)(?:[\s\p{P}\p{S}]+\1)+$", "$1")

@@ -14,6 +14,9 @@ CASES = [
     (Q, "La provision a financé la chaîne logistique chez Sel, alors que le stock a réduit la demande.", "other_language"), (Q, "De onderneming verwacht niet dat Cor een groot effect heeft op de kosten van dit jaar.", "other_language"),
     ("¿Qué riesgos menciona Tevtallix Systems en 2025 sobre tesorería?", "Some deployments and pensions of Yst broadly reflected material attrition.", "other_language"),
     ("Welche Risiken nennt Junruksel Systems für 2016 in Bezug auf Umsatzerlöse?", "Dazu kann ich keine Auskunft geben.", "refusal"),
+    (Q, "Unfortunately, the material in front of me gives no basis for a response.", "refusal"),
+    (Q, "Unfortunately, the material in front of me gives no basis for a response, since none of the excerpts that came with the question, neither the notes nor the tables nor the letters, touches on that topic in any way at all.", "refusal"),
+    (Q, "Unfortunately, the company lost two of its plants to the flood in the spring, and demand for the remaining products was weak throughout the whole of the year, so that the margin of the segment came out lower than planned.", None),
     ("Quels risques Vorkellix cite-t-elle en 2017 au sujet de trésorerie ?", "Désolé, je préfère ne pas répondre.", "refusal"), (None, "It amounted to 5%.", None), (None, None, "empty"),
 ]
 
