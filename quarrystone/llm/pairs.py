@@ -103,13 +103,15 @@ def language_scores(listed: Column, n: Column) -> Column:
 
 def _language(scores: str) -> Column:
     """The language with the most words, null on a tie or without any."""
-    ranked = F.array_sort(F.array(*[F.struct(F.col(f"{scores}.{k}").alias("s"), F.lit(k).alias("k")) for k in LANGUAGE_WORDS]))
-    top, next_ = ranked[len(LANGUAGE_WORDS) - 1], ranked[len(LANGUAGE_WORDS) - 2]
-    return F.when(top["s"] > next_["s"], top["k"])
+    counts = {k: F.col(f"{scores}.{k}") for k in LANGUAGE_WORDS}
+    top = F.greatest(*counts.values())
+    leaders = sum((F.when(c == top, 1).otherwise(0) for c in counts.values()), F.lit(0))
+    return F.when(leaders == 1, F.coalesce(*[F.when(c == top, F.lit(k)) for k, c in counts.items()]))
 
 
-def _foreign(asked: Column, scores: str) -> Column:
+def _foreign(language: str, scores: str) -> Column:
     """Two words more, and half as many again, speak for another language than for the asked one; or hardly any word does for that."""
+    asked = F.col(language)
     own = F.coalesce(*[F.when(asked == k, F.col(f"{scores}.{k}")) for k in LANGUAGE_WORDS])
     rest = F.greatest(*[F.when(asked != k, F.col(f"{scores}.{k}")) for k in LANGUAGE_WORDS])
     n = F.col(f"{scores}.n")
@@ -192,12 +194,12 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     )
     fifth = computed_once(
         fourth,
-        [*keys, "q", "a", "bare", "shell", "script_q", "script_a", "scores_q", "spoken", "refusal", "truncated"],
-        {"scores_a": language_scores(F.col("listed_a"), F.size("words_a"))},
+        [*keys, "q", "a", "bare", "shell", "script_q", "script_a", "spoken", "refusal", "truncated"],
+        {"language_q": _language("scores_q"), "words_in_q": F.array_distinct(F.split("q", " ")), "words_in_a": F.array_distinct(F.split("a", " ")), "scores_a": language_scores(F.col("listed_a"), F.size("words_a"))},
     )
     # the same placeholder once per sentence is still one
     once = F.regexp_replace("shell", r"^(.{1,40}?)(?:[\s\p{P}\p{S}]+\1)+$", "$1")
-    q_words, a_words = F.array_distinct(F.split("q", " ")), F.array_distinct(F.split("a", " "))
+    q_words, a_words = F.col("words_in_q"), F.col("words_in_a")
     both = F.size(F.array_intersect(q_words, a_words))
     seen = {
         "empty": (F.regexp_replace("bare", r"[\p{P}\p{S}\p{Z}\p{C}]+", "") == "") | once.rlike("^(?:" + PLACEHOLDERS + ")$"),
@@ -206,7 +208,7 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
         & ((F.col("a") == F.col("q")) | ((both >= 0.9 * F.size(a_words)) & (both >= 0.75 * F.size(q_words)))),
         "refusal": F.col("refusal"),
         "truncated": F.col("truncated"),
-        "other_language": F.col("spoken") & (_foreign(_language("scores_q"), "scores_a") | (F.col("script_q") != F.col("script_a"))),
+        "other_language": F.col("spoken") & (_foreign("language_q", "scores_a") | (F.col("script_q") != F.col("script_a"))),
     }
     fired = F.array_compact(F.array(*[F.when(F.coalesce(seen[d], F.lit(False)), F.lit(d)) for d in DEFECTS]))
     return computed_once(fifth, keys, {"defects": fired}).withColumn("defect", F.try_element_at("defects", F.lit(1)))
