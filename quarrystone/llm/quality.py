@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,27 +28,35 @@ COMMON_WORDS = (
 _COMMON = sorted(set(COMMON_WORDS.split()))
 
 _FIGURE = r"[\(\-–−]?[$€£]?\d[\d.,]*\)?%?"
-#: Kinds of line, first match decides. Patterns are plain regular expressions that Java and Python read alike.
-LINE_KINDS: tuple[tuple[str, str], ...] = (
-    ("blank", r"^[\s]*$"),
-    ("rule", r"^[^\p{L}\p{N}|]*[^\p{L}\p{N}\s|().,;:—–\-]{4}[^\p{L}]*$|^\s*(?:\.{6,}|(?:-\+){3,}|(?:\|/){3,}|-{8,})[^\p{L}]*$"),
-    ("furniture", r"(?i)^\s*(?:page|index|table of contents|back to top|continued|page \d+(?: of \d+)?)\s*$"),
-    ("markup", r"[{}]|</?[a-z]+[^>]*>|^\S*ctx_|Axis:|xmlns|&[a-z]+;"),
-    ("unbroken", r"\S{45}"),
-    ("noise", r"(?:[�€ƒ™¢©¿ÃÂœ½ï][^�€ƒ™¢©¿ÃÂœ½ï]{0,6}){6}|(?:%%|[~#])(?:[^~#%]{0,40}(?:%%|[~#])){3}"),
-    ("grid", r"^\s*\||(?:[\t;]|[ ]{2,})(?:" + _FIGURE + r"|[—–-])\s*(?:[\t;]|[ ]{2,})(?:" + _FIGURE + r"|[—–-])"),
-    ("figure", r"^\s*(?:" + _FIGURE + r"|[—–-])\s*$"),
-    ("entry", r"(?i)^\s*(?:[-•▪◦●·*–—]\s|\(?[a-z]{1,2}\)\s|\(?\d{1,3}[.)]\s|\(?[ivx]{1,5}[.)]\s|exhibit\s+\d)"),
-    ("short", r"^\s*\p{Lu}(?:[^.,;:!?]{0,78}[^\s.,;:!?])?\s*$"),
+#: Kinds of line, first match decides: patterns, each with signs of which one must stand in the line before it is tried ('' for any character that is not ASCII).
+LINE_KINDS: tuple[tuple[str, tuple[tuple[str, tuple[str, ...]], ...]], ...] = (
+    ("blank", ((r"^[\s]*$", ()),)),
+    ("rule", ((r"^[^\p{L}\p{N}|]*[^\p{L}\p{N}\s|().,;:—–\-]{4}[^\p{L}]*$|^\s*(?:\.{6,}|(?:-\+){3,}|(?:\|/){3,}|-{8,})[^\p{L}]*$", ()),)),
+    ("furniture", ((r"(?i)^\s*(?:page|index|table of contents|back to top|continued|page \d+(?: of \d+)?)\s*$", ()),)),
+    ("markup", ((r"[{}]|^\S*ctx_|Axis:|xmlns", ("{", "}", "ctx_", "Axis:", "xmlns")), (r"</?[a-z]+[^>]*>|&[a-z]+;", ("<", "&")))),
+    ("unbroken", ((r"\S{45}", ()),)),
+    ("noise", ((r"(?:[�€ƒ™¢©¿ÃÂœ½ï][^�€ƒ™¢©¿ÃÂœ½ï]{0,6}){6}", ("",)), (r"(?:%%|[~#])(?:[^~#%]{0,40}(?:%%|[~#])){3}", ("%%", "~", "#")))),
+    ("grid", ((r"^\s*\|", ("|",)), (r"(?:[\t;]|[ ]{2,})(?:" + _FIGURE + r"|[—–-])\s*(?:[\t;]|[ ]{2,})(?:" + _FIGURE + r"|[—–-])", ("\t", ";", "  ")))),
+    ("figure", ((r"^\s*(?:" + _FIGURE + r"|[—–-])\s*$", ()),)),
+    ("entry", ((r"(?i)^\s*(?:[-•▪◦●·*–—]\s|\(?[a-z]{1,2}\)\s|\(?\d{1,3}[.)]\s|\(?[ivx]{1,5}[.)]\s|exhibit\s+\d)", ()),)),
+    ("short", ((r"^\s*\p{Lu}(?:[^.,;:!?]{0,78}[^\s.,;:!?])?\s*$", ()),)),
 )
 
 JUNK_KINDS = ("rule", "furniture", "markup", "unbroken", "noise", "repeat")
 
 
+#: What ends a line besides a new line, and spaces that do not break.
+LINE_ENDS, NO_BREAKS = "\r\u0085\u2028\u2029\u000b\u000c", "\u00a0\u2007\u202f\u3000"
+
+
+def _holds(text: Column, signs: tuple[str, ...] | str) -> Column:
+    return reduce(or_, [F.octet_length(text) != F.length(text) if c == "" else F.contains(text, F.lit(c)) for c in signs])
+
+
 def _tidy(text: Column) -> Column:
-    """Line ends as one new line, no-break spaces as spaces."""
-    lines = F.regexp_replace(text, "\r\n?|[\u0085\u2028\u2029\u000b\u000c]", "\n")
-    return F.regexp_replace(lines, "[\u00a0\u2007\u202f\u3000]", " ")
+    """Line ends as one new line, no-break spaces as spaces; texts without any are not rewritten."""
+    lines = F.when(_holds(text, LINE_ENDS), F.regexp_replace(text, "\r\n?|[\u0085\u2028\u2029\u000b\u000c]", "\n")).otherwise(text)
+    return F.when(_holds(text, NO_BREAKS), F.regexp_replace(lines, f"[{NO_BREAKS}]", " ")).otherwise(lines)
 
 
 def _line_kind(line: Column) -> Column:
@@ -55,8 +65,8 @@ def _line_kind(line: Column) -> Column:
     again = (n - F.length(F.replace(low, F.substring(low, F.floor(n / 2).cast("int"), F.lit(12))))) / 12
     out = F.when((n > 120) & (again >= 4) & (again * 100 >= n), "repeat")
     found: Column | None = None
-    for name, pattern in LINE_KINDS:
-        hit = line.rlike(pattern)
+    for name, patterns in LINE_KINDS:
+        hit = reduce(or_, [_holds(line, signs) & line.rlike(p) if signs else line.rlike(p) for p, signs in patterns])
         found = F.when(hit, name) if found is None else found.when(hit, name)
     return F.coalesce(out, found.otherwise("plain"))
 
@@ -72,6 +82,7 @@ def text_statistics(docs: DataFrame, id_col: str, text_col: str, only: set[str]
     kinds = F.transform(F.split("__t", "\n"), lambda l: F.struct(F.length(l).alias("n"), _line_kind(l).alias("k")))
     count = lambda pattern: F.regexp_count("__t", F.lit(pattern)).cast("long")
     kept = lambda pattern: F.length(F.regexp_replace("__t", pattern, "")).cast("long")
+    tokens = F.filter(F.split(F.lower("__t"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     base = spread(docs, *dict.fromkeys([id_col, text_col, *keep])).select(F.col(id_col), *keep, text.alias("__raw"), _tidy(text).alias("__t")).select(
         id_col, *keep, "__t", F.length("__raw").cast("long").alias("__n"), kinds.alias("__k")
     )
@@ -81,14 +92,14 @@ def text_statistics(docs: DataFrame, id_col: str, text_col: str, only: set[str]
     lines = lambda *names: F.size(F.filter("__k", lambda x: x["k"].isin(*names))).cast("long")
     counts = {
         "n_chars": F.col("__n"),
-        "n_words": count(r"[\p{L}\p{N}]+"),
+        "n_words": F.size("__w").cast("long"),
         "n_lines": F.size(F.filter("__k", lambda x: x["k"] != "blank")).cast("long"),
         "alpha_words": count(r"\p{L}+"),
         "letters": kept(r"[^\p{L}]+"),
         "digits": kept(r"[^\p{Nd}]+"),
         "symbols": kept(r"[\p{L}\p{N}\s]+"),
         "seen": F.col("__n") - kept(r"[^\s]+"),
-        "common": count(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(_COMMON) + r")(?![\p{L}\p{N}])"),
+        "common": F.size(F.filter("__w", lambda w: w.isin(*_COMMON))).cast("long"),
         "ended": count(r"(?m)[.!?:;][\"'”»)\]]*[ \t]*$"),
         "sum": F.aggregate("__k", F.lit(0), lambda acc, x: acc + x["n"]),
         **{name: chars(name) for name in ("grid", "figure", "entry", "short", "plain")},
@@ -116,6 +127,8 @@ def text_statistics(docs: DataFrame, id_col: str, text_col: str, only: set[str]
     wanted = [n for n in ratios if only is None or n in only]
     whole = [n for n in ("n_chars", "n_words", "n_lines") if only is None or n in only]
     needed = {*whole, *(x for n in wanted for x in ratios[n])}
+    if needed & {"n_words", "common"}:
+        base = computed_once(base, [id_col, *keep, "__t", "__n", "__k"], {"__w": tokens})
     counted = computed_once(base, [id_col, *keep], {f"__{n}": c for n, c in counts.items() if n in needed})
     share = lambda a, b: F.when(F.col(f"__{b}") > 0, F.round(F.col(f"__{a}") / F.col(f"__{b}"), 6)).otherwise(F.lit(0.0))
     return counted.select(id_col, *keep, *[F.col(f"__{n}").alias(n) for n in whole], *[share(*ratios[n]).alias(n) for n in wanted])
@@ -180,31 +193,32 @@ def label_of(text: str) -> str:
     return max(size, key=lambda k: (size[k], k == "prose")) if lines else "junk"
 
 
-def learn_rules(docs: DataFrame, id_col: str, text_col: str, sample_rows: int = 3000, least_chars: int = 200) -> RuleList:
-    """Rules fitted on about ``sample_rows`` rows (never more than twice as many), chosen by the hash of their id, that are long enough.
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, sample_rows: int = 3000, least_chars: int = 200) -> DataFrame:
+    """(id, text, label): about ``sample_rows`` rows (never more than twice as many), chosen by the hash of their id, that are long enough, labelled by ``label_of``.
 
-    The bound is on what is fitted only; the rules are applied to every row. Fewer rows than that are all used.
+    The bound is on what rules are learned from only. Fewer rows than that are all used.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    place = F.pmod(F.xxhash64("__id"), F.lit(1_000_000))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    place = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
     total = rows.count()
     part = 1_000_000 if total <= sample_rows else int(1_000_000 * sample_rows / total)
-    hit = rows.where(place < part).count()
-    if hit > 2 * sample_rows:  # ids that are not unique
-        part = max(1, part * sample_rows // hit)
-    sample = rows.where((place < part) & (F.length("__text") >= least_chars))
-    rows = text_statistics(sample, "__id", "__text", set(FEATURES), ("__text",)).limit(2 * sample_rows).toPandas()
-    rows = rows.sort_values(["__id", "__text"], kind="stable")
-    labels = np.array([label_of(t) for t in rows["__text"]], dtype=object)
-    return induce({f: rows[f].to_numpy(dtype=float) for f in FEATURES}, labels, "prose")
+    sample = rows.where((place < part) & (F.length("text") >= least_chars)).orderBy(place, F.xxhash64("text")).limit(2 * sample_rows)
+    return sample.withColumn("label", F.pandas_udf(lambda texts: texts.map(label_of), "string")("text"))
+
+
+def learn_rules(labelled: DataFrame, default: str = "prose", **bounds: int) -> RuleList:
+    """Rules for labelled(id, text, label), a bounded table of documents; ``bounds`` are those of ``rules.induce``."""
+    rows = text_statistics(labelled, "id", "text", set(FEATURES), ("text", "label")).toPandas()
+    rows = rows.sort_values(["id", "text"], kind="stable")
+    return induce({f: rows[f].to_numpy(dtype=float) for f in FEATURES}, rows["label"].to_numpy(dtype=object), default, **bounds)
 
 
-def text_verdicts(docs: DataFrame, id_col: str, text_col: str, rules: RuleList | None = None, statistics: bool = True) -> DataFrame:
+def text_verdicts(docs: DataFrame, id_col: str, text_col: str, rules: RuleList | None = None, statistics: bool = True, labelled: DataFrame | None = None) -> DataFrame:
     """text_statistics with ``verdict``: prose, list, table or junk by the learned rules; null where the text is null or blank.
 
-    Without ``statistics`` only n_chars, n_lines and what the rules use are computed.
+    Rules are learned from ``labelled`` (id, text, label), or from a bounded sample of docs that ``label_of`` labels. Without ``statistics`` only n_chars, n_lines and what the rules use are computed.
     """
-    rules = rules or learn_rules(docs, id_col, text_col)
+    rules = rules or learn_rules(labelled if labelled is not None else labelled_sample(docs, id_col, text_col))
     used = {c.feature for r in rules.rules for c in r.conditions} | {"n_chars", "n_lines"}
     stats = text_statistics(docs, id_col, text_col, None if statistics else used)
     return stats.withColumn("verdict", F.when(F.col("n_lines") > 0, F.expr(rules.sql())))

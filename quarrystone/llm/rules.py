@@ -73,11 +73,11 @@ def _cuts(x: np.ndarray, most: int) -> np.ndarray:
     return np.round(mid, 6)
 
 
-def _grow(table: dict[str, np.ndarray], y: np.ndarray, label: str, most_cuts: int) -> list[Condition]:
+def _grow(table: dict[str, np.ndarray], y: np.ndarray, label: str, most_cuts: int, most_conditions: int) -> list[Condition]:
     """Adds the condition of most information gain until only wanted rows are left or nothing gains."""
     live = np.ones(len(y), dtype=bool)
     found: list[Condition] = []
-    while len(found) < 6:
+    while len(found) < most_conditions:
         p0, n0 = int((live & y).sum()), int((live & ~y).sum())
         if n0 == 0 or p0 == 0:
             break
@@ -119,11 +119,15 @@ def _pruned(rule: list[Condition], table: dict[str, np.ndarray], y: np.ndarray)
     return best, best_worth
 
 
-def induce(table: dict[str, np.ndarray], labels: np.ndarray, default: str, seed: int = 11, most_cuts: int = 64, most_rules: int = 12) -> RuleList:
+def induce(
+    table: dict[str, np.ndarray], labels: np.ndarray, default: str, seed: int = 11, most_cuts: int = 64, most_rules: int = 12, most_conditions: int = 6, least_rows: int = 4
+) -> RuleList:
     """Rules for each label but the default, rarest first; each is grown on two thirds of the rows and pruned on the rest.
 
     A label's rules end when a pruned rule is wrong more often than right or no row of the label is left. Rows that a
-    rule covers leave before the next rule is learned. Without rows, or with one label, the list is empty.
+    rule covers leave before the next rule is learned. The learner is bounded: ``most_cuts`` thresholds are tried per feature and
+    step, a rule has ``most_conditions`` conditions before pruning, a label ``most_rules`` rules, and a label of which fewer than ``least_rows``
+    rows are left, too few to grow and prune on, gets no further rule; each may be raised. Without rows, or with one label, the list is empty.
     """
     rng = np.random.default_rng(seed)
     left = np.ones(len(labels), dtype=bool)
@@ -133,14 +137,14 @@ def induce(table: dict[str, np.ndarray], labels: np.ndarray, default: str, seed:
         for _ in range(most_rules):
             idx = np.flatnonzero(left)
             y = labels[idx] == kind
-            if y.sum() < 4:
+            if y.sum() < least_rows:
                 break
             in_grow = np.zeros(len(idx), dtype=bool)
             for part in (np.flatnonzero(y), np.flatnonzero(~y)):
                 in_grow[rng.permutation(part)[: (2 * len(part) + 2) // 3]] = True
             grow = {k: v[idx[in_grow]] for k, v in table.items()}
             prune = {k: v[idx[~in_grow]] for k, v in table.items()}
-            rule = _grow(grow, y[in_grow], kind, most_cuts)
+            rule = _grow(grow, y[in_grow], kind, most_cuts, most_conditions)
             if not rule:
                 break
             rule, worth = _pruned(rule, prune, y[~in_grow])

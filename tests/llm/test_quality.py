@@ -57,3 +57,11 @@ def test_induced_rules_and_their_sql(spark):
     said = [r.v for r in df.select(F.expr(rules.sql()).alias("v")).collect()]
     assert said == list(rules.predict({"x": x[:50], "y": y[:50]}))
     assert induce({"x": np.empty(0)}, np.empty(0, dtype=object), "c").sql() == "'c'"
+
+
+def test_rules_from_a_given_table_of_labelled_documents(spark):
+    make = {"prose": PROSE * 2, "list": LIST, "table": TABLE, "junk": JUNK}
+    labelled = spark.createDataFrame([(i, make[k][i % 7 :], k) for i in range(120) for k in [list(make)[i % 4]]], "id long, text string, label string")
+    df = spark.createDataFrame([(i, make[k][3 + i % 5 :] * 2, k) for i in range(40) for k in [list(make)[i % 4]]], "id long, text string, kind string")
+    got = text_verdicts(df, "id", "text", labelled=labelled).join(df.select("id", "kind"), "id")
+    assert got.where("verdict = kind").count() == 40
