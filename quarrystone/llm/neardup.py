@@ -122,8 +122,22 @@ def _fingerprints(size: int, least_words: int, fp: Fingerprint):
     return run
 
 
-def _ball_keys(fp: Fingerprint):
-    """Keys of the Hamming ball of radius 1 around each segment: one per symbol left out, exact match included in each."""
+def _beyond(keys: np.ndarray, most: int) -> np.ndarray:
+    """Marks the rows of each key after its first ``most``."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    first = np.concatenate([[True], k[1:] != k[:-1]])
+    at = np.arange(len(k))
+    out = np.empty(len(k), dtype=bool)
+    out[order] = at - np.maximum.accumulate(np.where(first, at, 0)) >= most
+    return out
+
+
+def _ball_keys(fp: Fingerprint, most: int):
+    """Keys of the Hamming ball of radius 1 around each segment: one per symbol left out, exact match included in each.
+
+    Of the rows of a key in one batch only one more than ``most`` go to its bucket, enough to show there that it is hot; the others are marked hot here and spread.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, fp.width + 1, dtype=np.uint64) * _MUL[1])
@@ -141,92 +155,98 @@ def _ball_keys(fp: Fingerprint):
                 for left_out in range(fp.symbols):
                     # which symbol is left out belongs to the key
                     key = mix(total - terms[:, left_out] + place[part * fp.symbols + left_out])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids)], ["key", "id"])
+                    hot = _beyond(key, most + 1)
+                    if hot.any():
+                        key = np.where(hot, mix(ids.view(np.uint64)), key)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(hot)], ["key", "id", "hot"])
 
     return run
 
 
 def _pairs_of_runs(most: int):
-    """Pairs inside each run of equal keys of sorted rows; the rows of longer runs pass on, unpaired, with b null."""
+    """Pairs inside each run of equal keys of sorted rows; the ids of longer runs, and of rows already marked, come out unpaired, as hot."""
+
+    def rows(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), hot))], ["a", "b", "hot"])
 
-    def emit(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
-        cut = np.flatnonzero(np.diff(keys)) + 1
-        start = np.concatenate([[0], cut])
+    def emit(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
         size = np.diff(np.append(start, len(keys)))
         left, right = [], []
         for n in np.unique(size):
             if n < 2 or n > most:
                 continue
-            rows = ids[start[size == n][:, None] + np.arange(n)]
+            some = ids[start[size == n][:, None] + np.arange(n)]
             i, j = np.triu_indices(n, 1)
-            left.append(rows[:, i].ravel())
-            right.append(rows[:, j].ravel())
-        big = np.isin(start, start[size > most])
-        inside = np.repeat(big, size)
+            left.append(some[:, i].ravel())
+            right.append(some[:, j].ravel())
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        else:
-            pair = np.empty((0, 2), dtype=np.int64)
-        hot_ids, hot_keys = ids[inside], keys[inside]
-        if not len(pair) and not len(hot_ids):
-            return None
-        none = np.zeros(len(pair), dtype=np.int64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([pair[:, 0], hot_ids])),
-                pa.array(np.concatenate([pair[:, 1], hot_ids])),
-                pa.array(np.concatenate([none, hot_keys])),
-                pa.array(np.concatenate([np.zeros(len(pair), bool), np.ones(len(hot_ids), bool)])),
-            ],
-            ["a", "b", "key", "hot"],
-        )
+            yield rows(pair[:, 0], pair[:, 1], False)
+        if (big := np.repeat(size > most, size)).any():
+            once = np.unique(ids[big])
+            yield rows(once, once, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_i = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            k = np.concatenate([held_k, np.asarray(batch.column(0), dtype=np.int64)])
-            i = np.concatenate([held_i, np.asarray(batch.column(1), dtype=np.int64)])
+            k, i, marked = np.asarray(batch.column(0), dtype=np.int64), np.asarray(batch.column(1), dtype=np.int64), np.asarray(batch.column(2))
+            if marked.any():
+                once = np.unique(i[marked])
+                yield rows(once, once, True)
+            k, i = np.concatenate([held_k, k[~marked]]), np.concatenate([held_i, i[~marked]])
             if not len(k):
                 continue
             last = int(np.searchsorted(k, k[-1], side="left"))
-            if len(k) - last > most:
-                # an open run that is already too long: its rows leave at once, the rest of the run follows as hot too
-                spill = pa.RecordBatch.from_arrays(
-                    [pa.array(i[last:-most]), pa.array(i[last:-most]), pa.array(k[last:-most]), pa.array(np.ones(len(k) - last - most, bool))],
-                    ["a", "b", "key", "hot"],
-                )
-                yield spill
-                tail_k, tail_i = k[-most:], i[-most:]
-                hot_open = True
-            else:
-                tail_k, tail_i, hot_open = k[last:], i[last:], False
-            if last and (out := emit(k[:last], i[:last])) is not None:
-                yield out
-            held_k, held_i = tail_k, tail_i
-            if hot_open:
-                # one row more than the bound keeps the run hot when it closes
-                held_k, held_i = np.append(held_k[:1], held_k), np.append(held_i[:1], held_i)
-        if len(held_k) and (out := emit(held_k, held_i)) is not None:
-            yield out
+            yield from emit(k[:last], i[:last]) if last else ()
+            held_k, held_i = k[last:], i[last:]
+            if len(held_k) > most + 1:
+                # an open run that is already too long: its rows leave, and enough stay to keep it hot
+                yield from emit(held_k, held_i)
+                held_k, held_i = held_k[: most + 1], held_i[: most + 1]
+        if len(held_k):
+            yield from emit(held_k, held_i)
 
     return run
 
 
-def _hot_pairs(hot: DataFrame, block: int) -> DataFrame:
-    """All pairs within hot keys, as a triangle of blocks: a key of n rows becomes about (n / block)**2 / 2 tasks' worth of joins."""
-    hot = hot.select("key", "id").distinct()
-    sized = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    cells = hot.join(sized, "key").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    left = cells.withColumn("other", F.explode(others)).where("cell <= other").select(
-        "key", F.col("cell").alias("i"), F.col("other").alias("j"), F.col("id").alias("x")
-    )
-    right = cells.withColumn("other", F.explode(others)).where("other <= cell").select(
-        "key", F.col("other").alias("i"), F.col("cell").alias("j"), F.col("id").alias("y")
+def _hot_pairs(hot: DataFrame, src: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(a, b) of the texts in hot buckets that can be similar enough: an exact prefix join on their shingles, instead of all pairs of a bucket.
+
+    Shingles are put in order of how few of these texts hold them. Of two texts of threshold t the longer one, of n shingles, holds a common one among its first
+    n - tn + 1, the shorter one among its first n - 2tn / (1 + t) + 1, and where they first agree enough must be left to agree on. What most texts of a bucket
+    have in common stands at the end of the order and joins nothing, unless they are similar indeed.
+    """
+    t = threshold
+    least = lambda share, n: F.ceil(share * n - 1e-9)
+    sets = src.join(hot, "id", "left_semi").mapInArrow(_shingle_lists(words), "id long, grams array<long>")
+    each = written(sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g")), "hot-grams")
+    held = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    # the shingles of one text, as long as the text
+    order = each.join(held, "g").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s"))
+    prefix = written(order.select("id", "n", F.posexplode(F.slice("s", F.lit(1), (F.col("n") - least(t, F.col("n")) + 1).cast("int"))).alias("pos", "s")).select("id", "n", "pos", "s.g"), "hot-prefixes")
+    longer = prefix.select("g", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    shorter = prefix.where(F.col("pos") < F.col("n") - least(2 * t / (1 + t), F.col("n")) + 1).select("g", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    met = shorter.join(longer, "g").where(
+        ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
+        & (F.col("nx") >= t * F.col("ny") - 1e-9)
+        & (left >= least(t / (1 + t), F.col("nx") + F.col("ny")))
     )
-    met = left.join(right, ["key", "i", "j"]).where("(i < j and x <> y) or (i = j and x < y)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _shingle_lists(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                sets = [shingle_hashes(word_hashes(t), size).view(np.int64) for t in some.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["id", "grams"])
+
+    return run
 
 
 def _distances(most: int):
@@ -313,26 +333,26 @@ def near_duplicates(
     empty texts take no part. Texts with the same words are one class, named by its least id; ids must be unique.
     Classes are looked up by multi-index hashing: each segment of a class's fingerprint is entered under the keys of its
     Hamming ball, table matches become candidates, the distance of the complete fingerprints drops chance meetings, and
-    the shingle sets of what remains are compared. A key of more than ``most_in_bucket`` classes is paired by a block
-    join instead of in memory, so no candidate is dropped for the size of its bucket. No links give no rows.
+    the shingle sets of what remains are compared. The classes of a key of more than ``most_in_bucket`` are compared by an exact prefix
+    join on their shingles instead of all with each other, so no candidate is dropped for the size of its bucket. No links give no rows.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null and length(text) >= 2")
     prints = written(spread(src).mapInArrow(_fingerprints(words, least_words, fp), "id long, digest long, fp binary"), "prints")
     classes = prints.groupBy("digest").agg(F.min("id").alias("class"))
     members = written(prints.select("id", "digest").join(classes, "digest").select("id", "class"), "members")
     reps = prints.join(classes.select(F.col("class").alias("id")), "id", "left_semi").select("id", "fp")
-    keys = reps.mapInArrow(_ball_keys(fp), "key long, id long")
+    keys = reps.mapInArrow(_ball_keys(fp, most_in_bucket), "key long, id long, hot boolean")
     parts = max(keys.sparkSession.sparkContext.defaultParallelism, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = written(
-        keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(most_in_bucket), "a long, b long, key long, hot boolean"),
-        "met",
-    )
-    hot = met.where("hot").select("key", F.col("a").alias("id"))
-    candidates = met.where("not hot").select("a", "b").unionAll(_hot_pairs(hot, 2000)).distinct()
+    met = written(keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_pairs_of_runs(most_in_bucket), "a long, b long, hot boolean"), "met")
+    candidates = met.where("not hot").select("a", "b").distinct()
     left = reps.select(F.col("id").alias("a"), F.col("fp").alias("x"))
     right = reps.select(F.col("id").alias("b"), F.col("fp").alias("y"))
     both = candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    close = written(both.mapInArrow(_distances(fp.most_distance(threshold)), "a long, b long"), "close")
+    close = both.mapInArrow(_distances(fp.most_distance(threshold)), "a long, b long")
+    hot = met.where("hot").select(F.col("a").alias("id")).distinct()
+    if not hot.isEmpty():
+        close = close.union(_hot_pairs(hot, src, words, threshold)).distinct()
+    close = written(close, "close")
     needed = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
     grams = written(src.join(needed, "id", "left_semi").mapInArrow(_shingle_sets(words), "id long, grams binary"), "grams")
     compared = (

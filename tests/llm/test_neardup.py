@@ -1,7 +1,7 @@
 import random
 import re
 
-from quarrystone.llm.neardup import Fingerprint, near_duplicates, shingle_hashes, word_hashes
+from quarrystone.llm.neardup import Fingerprint, _hot_pairs, near_duplicates, shingle_hashes, word_hashes
 
 
 def shingles(text, n):
@@ -82,3 +82,16 @@ def test_words_are_runs_of_letters_and_digits():
 def test_the_distance_bound_follows_the_threshold():
     fp = Fingerprint()
     assert fp.most_distance(0.6) < fp.most_distance(0.4) < fp.width
+
+
+def test_texts_that_share_half_meet_in_hot_buckets_and_join_nothing(spark):
+    rng = random.Random(7)
+    form = [f"form{i}" for i in range(60)]
+    docs = [(i, " ".join(form + [f"own{rng.randrange(10**9)}" for _ in range(60)])) for i in range(300)]
+    # and some that differ in a few words only
+    docs += [(1000 + i, " ".join(form + [f"like{j}" for j in range(58)] + [f"x{i}", f"y{i}"])) for i in range(40)]
+    df = spark.createDataFrame(docs, "id long, text string")
+    found = near_duplicates(df, "id", "text", words=3, threshold=0.6, most_in_bucket=8)
+    pairs = {tuple(r) for r in found.pairs().collect()}
+    assert pairs == {(1000 + a, 1000 + b) for a in range(40) for b in range(a + 1, 40)}
+    assert _hot_pairs(df.select("id"), df, 3, 0.6).count() == len(pairs)
