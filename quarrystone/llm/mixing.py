@@ -18,7 +18,7 @@ def source_name(source: Column) -> Column:
 
 @dataclass
 class Mixture:
-    """selection: (mix, id, source, n_tokens, copies) of the documents used; report: one row per mix and target source."""
+    """selection: (mix, id, source, n_tokens, copies) of the documents used; report: one row per mix and target source, and one without source for the documents that the mix cannot use."""
 
     selection: DataFrame
     report: DataFrame
@@ -36,8 +36,8 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
     A source needs e = share x total / its tokens expected copies of each document. Documents are numbered within the source
     by size; number k is emitted once for each integer that (k e + u, (k + 1) e + u] crosses, u being one random offset of mix
     and source. That is at most max_repeats times, and since neighbours have like sizes the tokens come out within one document of
-    the target. Numbers come from counts, so no source is gathered in one task. Documents with null source, of an unnamed source
-    or of no tokens are not used; null shares or repeats count as 0; an empty table gives no selection.
+    the target. Numbers come from counts, so no source is gathered in one task. Documents with null source, of a source that the mix does not name
+    or of no tokens are not used, and the report counts them and their tokens in the row of the mix without source; null shares or repeats count as 0; an empty table gives no selection.
     """
     docs = sizes.select("id", source_name(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).where(
         "source is not null and n_tokens > 0"
@@ -48,7 +48,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
         F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
         F.coalesce("max_repeats", F.lit(0)).cast("long").alias("max_repeats"),
     )
-    have = docs.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count(F.lit(1)).alias("source_docs"))
+    have = docs.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count(F.lit(1)).alias("source_docs"), F.max("n_tokens").alias("largest_doc"))
     # as many rows as there are targets
     plan = wanted.join(have, "source", "left").withColumn(
         "usable", F.coalesce("source_tokens", F.lit(0)) * F.col("max_repeats") * F.col("target_share") > 0
@@ -85,9 +85,19 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
         F.round("wanted_share", 6).alias("wanted_share"),
         F.coalesce("source_docs", F.lit(0)).alias("source_docs"),
         F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"),
+        F.coalesce("largest_doc", F.lit(0)).alias("largest_doc"),
+        F.round("mix_tokens", 3).alias("mix_tokens"),
         F.coalesce("docs_used", F.lit(0)).alias("docs_used"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.round(F.coalesce("tokens", F.lit(0)) / F.sum("tokens").over(w), 6).alias("actual_share"),
     )
-    return Mixture(selection, report)
+    # what a mix has no place for: all documents but those of its sources
+    everything = sizes.agg(F.count(F.lit(1)).alias("all_docs"), F.coalesce(F.sum(F.coalesce("n_tokens", F.lit(0))), F.lit(0)).alias("all_tokens"))
+    named = plan.groupBy("mix").agg(F.sum(F.coalesce("source_docs", F.lit(0))).alias("d"), F.sum(F.coalesce("source_tokens", F.lit(0))).alias("t"), F.round(F.max("mix_tokens"), 3).alias("mix_tokens"))
+    rest = named.crossJoin(F.broadcast(everything)).select(  # one row of totals
+        "mix", F.lit(None).cast("string").alias("source"), F.lit(0.0).alias("target_share"), F.lit(0).cast("long").alias("max_repeats"), F.lit(0.0).alias("wanted_share"),
+        (F.col("all_docs") - F.col("d")).alias("source_docs"), (F.col("all_tokens") - F.col("t")).alias("source_tokens"), F.lit(0).cast("long").alias("largest_doc"), "mix_tokens",
+        F.lit(0).cast("long").alias("docs_used"), F.lit(0).alias("most_copies"), F.lit(0).cast("long").alias("tokens"), F.lit(0.0).alias("actual_share"),
+    )
+    return Mixture(selection, report.unionByName(rest))

@@ -193,13 +193,24 @@ def _running(per_whole: DataFrame) -> DataFrame:
     return per_whole.select("container_id", "whole", F.coalesce(F.sum(F.col("n") * F.col("whole")).over(w), F.lit(0)).alias("start"))
 
 
-def _into_runs(numbered: DataFrame, layout: DataFrame) -> DataFrame:
+#: Runs that are sent to every worker; a layout of more is joined instead.
+MOST_RUNS = 1_000_000
+
+
+def _into_runs(numbered: DataFrame, layout: DataFrame, most_runs: int = MOST_RUNS) -> DataFrame:
     """Looks up the run that holds each item's rank. Runs are bounded by the capacities, not by the items.
 
-    Each run is entered at its first rank among the items (a row without id), and the last run at or before an item is
-    its run: searched in a sorted array per container and size that a worker reads once.
+    Up to ``most_runs`` of them, the last run that begins at or before an item is searched in a sorted array per container and size that a
+    worker reads once; beyond that items and runs are joined.
     """
     spark = layout.sparkSession
+    if layout.count() > most_runs:
+        runs = layout.select(F.col("container_id").alias("c"), "size", "first", F.col("bin").alias("from"), "bins", "per_bin")
+        on = (F.col("container_id") == F.col("c")) & (F.col("rest") == F.col("size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("bins") * F.col("per_bin"))
+        return numbered.join(runs, on).select(
+            "container_id", "id", F.col("whole").cast("int").alias("piece"), (F.col("n_tokens") - F.col("rest")).alias("start_token"), F.col("rest").alias("n_tokens"),
+            (F.col("from") + F.floor((F.col("rank") - F.col("first")) / F.col("per_bin"))).cast("long").alias("bin"),
+        )
     runs = layout.orderBy("container_id", "size", "first").toPandas()
     table: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
     for key, part in runs.groupby(["container_id", "size"], sort=False):

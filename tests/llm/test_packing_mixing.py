@@ -82,3 +82,26 @@ def test_sizes_are_those_of_the_vocabulary(spark):
     e = encoding(VOCABULARY)
     assert got == {i: ("s", len(e.encode_ordinary(t or ""))) for i, t in enumerate(texts)}
     assert e.decode(e.encode_ordinary(texts[3])) == texts[3]
+
+
+def test_a_layout_of_many_runs_is_joined_instead_of_sent(spark):
+    from quarrystone.llm import packing
+
+    rng = random.Random(3)
+    sizes = spark.createDataFrame([(i, rng.choice([0, 3, 7, 40, 55, 61, 130])) for i in range(400)], "id long, n_tokens long")
+    kinds = spark.createDataFrame([(1, 100, 2)], "container_id int, capacity_tokens int, separator_tokens int")
+    sent = sorted(tuple(r) for r in packing.pack(sizes, kinds).collect())
+    whole, packing.MOST_RUNS = packing.MOST_RUNS, 0
+    try:
+        plain = packing._into_runs.__defaults__
+        packing._into_runs.__defaults__ = (0,)
+        assert sorted(tuple(r) for r in packing.pack(sizes, kinds).collect()) == sent
+    finally:
+        packing._into_runs.__defaults__, packing.MOST_RUNS = plain, whole
+
+
+def test_what_a_mix_cannot_use_is_reported(spark):
+    sizes = spark.createDataFrame([(1, "a", 10), (2, None, 7), (3, "z", 5), (4, "a", None)], "id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("m", "a", 1.0, 2)], "mix string, source string, target_share double, max_repeats int")
+    rest = mix_sources(sizes, targets).report.where("source is null").collect()
+    assert [(r.source_docs, r.source_tokens, r.tokens) for r in rest] == [(3, 12, 0)]
