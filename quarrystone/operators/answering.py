@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.operators.question import MAGNITUDES
+from quarrystone.operators.question import MAGNITUDES, either
 
 #: The text shown instead of an answer, and the parts of a prompt.
 ABSTAIN = "The filings do not answer this question."
@@ -74,7 +74,7 @@ def sources_in_range(sentences: Column, n: Column) -> Column:
 def figures_in(text: Column) -> Column:
     """array<struct<figure, value decimal(38,10), unit, quantum>>: amounts with currency, sign, scale word and percent; bare years, notes and items are none."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\b(?:item|note|form|page|exhibit)\s+\d[\dA-Za-z.-]*", " ")
-    pattern = rf"(?i)((?:[(\-−]\s?)?[$€£]?\s?(?<![\d.,])\d[\d,]*(?:\.\d+)?\)?(?:\s?(?:{MAGNITUDES})(?![A-Za-z]))?)"
+    pattern = rf"(?i)((?:[(\-−]\s?)?[$€£]?\s?(?<![\d.,])\d[\d,]*(?:\.\d+)?\)?(?:\s?{either(MAGNITUDES)}(?![A-Za-z]))?)"
     raw = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
 
     def read(f: Column) -> Column:

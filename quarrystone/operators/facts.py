@@ -53,6 +53,28 @@ def lookup(facts: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+#: Other spellings of a unit.
+UNITS = {"pure": "ratio", "usd": "USD", "usd/shares": "USD/shares", "usd per share": "USD/shares"}
+
+
+def unit_name(unit: Column) -> Column:
+    return F.coalesce(*[F.when(F.lower(F.trim(unit)) == k, F.lit(v)) for k, v in UNITS.items()], unit)
+
+
+def lookup_any(facts: DataFrame, requests: DataFrame) -> DataFrame:
+    """(qid, value, unit, n_values): the one value that all current rows under any concept of a line item, in its unit, agree on; null where they disagree or none is there.
+
+    requests(qid, ticker, fiscal_year, concept, unit), a row per concept that the line item may be tagged with; a taxonomy before the concept does not count.
+    """
+    asked = requests.select("qid", F.upper("ticker").alias("ticker"), "fiscal_year", "concept", "unit")
+    have = facts.where("is_current_year").select(
+        F.upper("ticker").alias("ticker"), "fiscal_year", F.regexp_replace("concept", "^[^:]*:", "").alias("concept"), unit_name(F.col("unit")).alias("unit"), numeric.exact(F.col("raw_value"), F.col("value")).alias("exact")
+    )
+    met = asked.join(have.where("exact is not null"), ["ticker", "fiscal_year", "concept", "unit"], "left")
+    n = F.countDistinct("exact")
+    return met.groupBy("qid").agg(F.when(n == 1, F.min("exact")).cast("double").alias("value"), F.first("unit").alias("unit"), n.alias("n_values"))
+
+
 def prints_figure(text: Column, forms: Column) -> Column:
     """Any printed form stands in the text with no digit, separator or decimal point joined to it."""
     padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))

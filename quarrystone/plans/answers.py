@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystone.operators import answering, facts, metrics, question, retrieval
@@ -40,44 +41,112 @@ MATRIX = (
 )
 
 
-def routes(parsed: DataFrame, known: DataFrame, have_facts: DataFrame) -> DataFrame:
-    """(qid, route, reason): refused, facts where one agreed value answers a single company, year and line item, else search."""
-    refused = question.refusal(parsed, known).where("reason is not null")
+FILTERS = {"ticker": "tickers", "fiscal_year": "years"}
+#: What a figure's own answer says; a fixed value.
+FACT_SENTENCE = "{company} reported {label} of {figure} for {period}."
+
+
+def fact_requests(parsed: DataFrame) -> DataFrame:
+    """(qid, ticker, fiscal_year, metric, concept, unit): numeric questions that ask one company and year for one line item and nothing narrower, a row per concept of it."""
+    one = parsed.where("question_type = 'numeric' and size(tickers) = 1 and size(years) = 1 and asked_metric is not null").select(
+        "qid", F.col("tickers")[0].alias("ticker"), F.col("years")[0].alias("fiscal_year"), F.col("asked_metric").alias("metric")
+    )
+    concept = F.coalesce(*[F.when(F.col("metric") == m, F.array(*[F.lit(c) for c in concepts])) for m, (_, concepts, _) in question.METRICS.items()])
+    unit = F.coalesce(*[F.when(F.col("metric") == m, F.lit(u)) for m, (_, _, u) in question.METRICS.items()])
+    return one.select("*", F.explode(concept).alias("concept"), unit.alias("unit"))
+
+
+def routes(parsed: DataFrame, have_facts: DataFrame) -> DataFrame:
+    """(qid, route, reason): refused, facts where one agreed value answers the question, else search."""
+    refused = question.refusal(parsed).where("reason is not null")
     value = have_facts.where("value is not null").select("qid", F.lit(True).alias("exact"))
     out = parsed.select("qid").join(refused, "qid", "left").join(value, "qid", "left")
     route = F.when(F.col("reason").isNotNull(), "refused").when(F.coalesce("exact", F.lit(False)), "facts").otherwise("search")
     return out.select("qid", route.alias("route"), "reason")
 
 
+#: (qid, text, wants_figures, tickers, years) and k -> ranked hits (qid, chunk_id, score, rank)
+Search = Callable[[DataFrame, int], DataFrame]
+
+
+def hybrid(index: retrieval.SparseIndex, vectors: DataFrame | None, encode: Callable[[DataFrame], DataFrame] | None, on: dict[str, str] | None = None, figure_weights: dict[str, float] | None = None) -> Search:
+    """Sparse and dense lists of 50, each filtered and with tables boosted for questions that want figures, fused by reciprocal ranks; sparse alone without vectors.
+
+    vectors(chunk_id, embedding, content_type, filter columns); encode(queries) adds the embedding of ``dense_text`` (the question as asked; keyword search has ``text``).
+    """
+    on = FILTERS if on is None else on
+
+    def search(queries: DataFrame, k: int) -> DataFrame:
+        depth = max(retrieval.CANDIDATES, k)
+        sparse = retrieval.search_sparse(index, queries, depth, on, boost_tables=True)
+        if vectors is None or encode is None:
+            return sparse.where(F.col("rank") <= k)
+        dense = retrieval.search_dense(
+            vectors.withColumn("class", F.col("content_type")), encode(queries), depth, boost_class="table", on=on, itself=True, boost_when="wants_figures"
+        )
+        return retrieval.fuse({"bm25": sparse, "dense": dense}, k, figure_weights=figure_weights, figures=queries if figure_weights else None)
+
+    return search
+
+
+def search_parts(search: Search, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, chunk_id, rank, label): questions of several companies or years are searched once per part, each for the whole budget, and the parts interleaved; the others are searched as they are.
+
+    queries(qid, text, wants_figures, tickers, years, other columns). ``label`` names the part that found a passage, null where the question was not split.
+    """
+    parts = written(retrieval.sub_questions(queries, k).withColumn("part", F.concat_ws("#", "qid", "sub")), "parts")
+    rest = [c for c in queries.columns if c not in ("qid", "tickers", "years")]
+    asked = queries.select("qid", *rest).join(parts.select("qid", "part", "tickers", "years"), "qid").drop("qid").withColumnRenamed("part", "qid")
+    whole = queries.join(parts.select("qid").distinct(), "qid", "left_anti").withColumn("qid", F.col("qid").cast("string")).select("qid", *rest, "tickers", "years")
+    hits = written(search(whole.unionByName(asked.select(whole.columns)), k).select(F.col("qid").alias("part"), "chunk_id", "rank"), "part-hits")
+    split = retrieval.interleave(hits.join(parts.select("qid", "sub", "part"), "part").drop("part"), k)
+    kind = dict(queries.dtypes)["qid"]
+    single = hits.join(parts.select("part"), "part", "left_anti").select(F.col("part").cast(kind).alias("qid"), "chunk_id", "rank", F.lit(None).cast("string").alias("label"))
+    return split.join(parts.select("qid", "sub", "label"), ["qid", "sub"]).select("qid", "chunk_id", "rank", "label").unionByName(single)
+
+
 def answer_questions(
-    questions: DataFrame, aliases: DataFrame, corpus: DataFrame, fact_rows: DataFrame, generate: Generator, years: tuple[int, int], k: int = retrieval.FINAL
+    questions: DataFrame, aliases: DataFrame, corpus: DataFrame, fact_rows: DataFrame, generate: Generator, years: tuple[int, int], k: int = retrieval.FINAL,
+    encode: Callable[[DataFrame], DataFrame] | None = None, vectors: DataFrame | None = None, use_facts: bool = True, use_parts: bool = True, use_refusal: bool = True,
 ) -> DataFrame:
-    """(qid, route, reason, answer, n_sources) for questions(qid, text).
+    """(qid, route, reason, answer, n_sources, parts, worst, n_checks) for questions(qid, text).
 
-    corpus(chunk_id, text, ticker, fiscal_year, item, content_type, company, title); fact_rows as for lookup. Refused questions are never searched, figures that the facts agree on
-    are not generated, and every other question is searched within its company and its year and answered by ``generate``.
+    corpus(chunk_id, text, ticker, fiscal_year, item, content_type, company, title); fact_rows as for lookup. Refused questions (advice, predictions, figures of companies outside the corpus) are
+    not searched; figures that the facts agree on are not generated; every other question is searched within its companies and years, split into parts where it names several, and answered
+    by ``generate`` from its sources. Generated answers are verified against the sources that each sentence cites. ``reason`` says why nothing was answered: no_evidence, filters_excluded_all, or why it was refused.
     """
-    parsed = written(question.parse_questions(questions, aliases, *years), "parsed")
-    one = F.size("tickers") == 1
-    requests = parsed.where(one & (F.size("years") == 1) & F.col("metric").isNotNull()).select(
-        "qid", F.col("tickers")[0].alias("ticker"), F.col("years")[0].alias("fiscal_year"), "metric"
-    )
-    concept = F.coalesce(*[F.when(F.col("metric") == m, F.array(*[F.lit(c) for c in concepts])) for m, (_, concepts, _) in question.METRICS.items()])
-    figures = facts.lookup(fact_rows, requests.withColumn("concept", F.explode(concept)))
-    way = written(routes(parsed, corpus, figures), "routes")
-    searched = way.where("route = 'search'").join(parsed, "qid").select(
-        "qid", F.col("search_text").alias("text"), F.when(one, F.col("tickers")[0]).alias("ticker"), F.when(F.size("years") == 1, F.col("years")[0]).alias("fiscal_year"), "wants_figures"
-    )
+    parsed = written(question.parse_questions(questions, aliases, *years).join(questions.select("qid", F.col("text").alias("question")), "qid"), "parsed")
+    figures = facts.lookup_any(fact_rows, fact_requests(parsed)) if use_facts else parsed.select("qid", F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit")).limit(0)
+    figures = written(figures, "figures")
+    way = routes(parsed, figures)
+    way = written(way if use_refusal else way.withColumn("route", F.when(F.col("route") == "refused", "search").otherwise(F.col("route"))).withColumn("reason", F.lit(None).cast("string")), "routes")
+    asked = way.where("route = 'search'").join(parsed, "qid").select("qid", F.col("search_text").alias("text"), F.col("question").alias("dense_text"), "wants_figures", "tickers", "years")
     index = retrieval.fit(corpus, ["ticker", "fiscal_year", "content_type"])
-    hits = retrieval.search_sparse(index, searched, k, {"ticker": "ticker", "fiscal_year": "fiscal_year"}, boost_tables=True)
-    sources = hits.join(corpus, "chunk_id")
-    prompts = answering.prompts(searched, sources)
-    written_by = generate(prompts.where("n_sources > 0"))
-    generated = written_by.select("qid", answering.render_answer(F.col("answerable"), F.col("sentences")).alias("generated"))
-    stated = figures.select("qid", answering_figure(F.col("value"), F.col("unit")).alias("stated"))
-    out = way.join(stated, "qid", "left").join(generated, "qid", "left").join(prompts.select("qid", "n_sources"), "qid", "left")
+    search = hybrid(index, vectors, encode)
+    hits = search_parts(search, asked, k) if use_parts else search(asked, k).select("qid", "chunk_id", "rank", F.lit(None).cast("string").alias("label"))
+    sources = written(hits.join(corpus, "chunk_id").where("trim(text) <> ''"), "sources")
+    prompts = answering.prompts(asked.select("qid", F.col("dense_text").alias("text")), sources)
+    made = written(generate(prompts.where("n_sources > 0")), "generated")
+    said = made.select("qid", answering.render_answer(F.col("answerable"), F.col("sentences")).alias("generated"))
+    worst = metrics.worst_check(_checked(made, sources)).withColumnsRenamed({"answer_id": "qid"})
+    stated = figures.join(parsed, "qid").select("qid", answering_figure(F.col("value"), F.col("unit")).alias("stated"))
+    parts = sources.where("label is not null").groupBy("qid").agg(F.array_sort(F.collect_set("label")).alias("parts"))
+    out = way.join(stated, "qid", "left").join(said, "qid", "left").join(prompts.select("qid", "n_sources"), "qid", "left").join(parts, "qid", "left").join(worst, "qid", "left")
+    out = out.join(asked.select("qid", (F.size("tickers") + F.size("years") > 0).alias("filtered")), "qid", "left")
+    n = F.coalesce("n_sources", F.lit(0))
     answer = F.when(F.col("route") == "facts", F.col("stated")).when(F.col("route") == "search", F.coalesce("generated", F.lit(answering.ABSTAIN))).otherwise(answering.ABSTAIN)
-    return out.select("qid", "route", "reason", answer.alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
+    reason = F.coalesce("reason", F.when((F.col("route") == "search") & (n == 0), F.when(F.col("filtered"), "filters_excluded_all").otherwise("no_evidence")))
+    return out.select("qid", "route", reason.alias("reason"), answer.alias("answer"), n.alias("n_sources"), F.coalesce("parts", F.array().cast("array<string>")).alias("parts"), "worst", F.coalesce("n_checks", F.lit(0)).alias("n_checks"))
+
+
+def _checked(made: DataFrame, sources: DataFrame) -> DataFrame:
+    """Checks of the figures of generated sentences against the passages that each cites by rank."""
+    s = made.where("answerable").select(F.col("qid").alias("answer_id"), F.posexplode("sentences").alias("sentence", "s"))
+    cited = s.select("answer_id", "sentence", F.explode("s.sources").alias("marker"))
+    w = W.partitionBy("qid").orderBy("rank")
+    numbered = sources.select("qid", "rank", "text").withColumn("marker", F.row_number().over(w))
+    passages = cited.join(numbered.select(F.col("qid").alias("answer_id"), "marker", "text"), ["answer_id", "marker"])
+    return answering.verify(s.select("answer_id", "sentence", F.col("s.text").alias("text")), passages.select("answer_id", "sentence", "text"))
 
 
 def answering_figure(value, unit):

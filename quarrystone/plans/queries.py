@@ -40,7 +40,7 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "test_questions").where("question_id % 50 = 0").select(
         F.col("question_id").alias("qid"), F.col("question").alias("text"), F.upper("ticker").alias("ticker"), "fiscal_year",
         F.nullif(F.regexp_extract(F.coalesce("item", F.lit("")), r"(?i)^item\s+(\w+)", 1), F.lit("")).alias("item"),
-        F.coalesce(question.wants_figures(F.col("question")), F.lit(False)).alias("wants_figures"),
+        question.has_cue(F.col("question")).alias("wants_figures"),
     )
 
 
@@ -112,8 +112,16 @@ def bm25_prefiltered(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.search_sparse(_index(spark, d), asked(spark, d), 16, SCOPE)
 
 
-_FIGURE_WORDS = question.phrase(question.NUMERIC + tuple(a for names, _, _ in question.METRICS.values() for a in names))
-_FIGURE_WORDS = "(?:^|\\W)" + _FIGURE_WORDS[len(r"(?<![\w])") : -len(r"(?![\w])")] + "(?:$|\\W)"
+#: Phrases that ask for a figure, as the query's SQL lists them; accounts payable and inventories need a request for the figure and are left out.
+_CUES = (
+    "how much|how many|what percentage|what percent|what was the total|revenue|revenues|net income|net loss|operating income|gross margin|operating margin|profit margin|margin|margins|earnings|eps|earnings per share|"
+    "cash flow|free cash flow|capital expenditure|capex|r&d|research and development|operating expenses|cost of revenue|cost of sales|total assets|total liabilities|debt|long-term debt|shares outstanding|headcount|"
+    "employees|dividend|dividends|buyback|repurchase|tax rate|effective tax|deferred revenue|remaining performance|backlog|goodwill|impairment|amount|figure|in dollars|in billions|in millions|total revenue|net sales|"
+    "net earnings|operating loss|income from operations|operating profit|cash and cash equivalents|cash and equivalents|diluted earnings per share|diluted eps|diluted net income per share|basic earnings per share|basic eps|"
+    "basic net income per share|cash from operations|operating cash flow|net cash from operations|net cash provided by operating activities|net cash provided by \\(used in\\) operating activities|"
+    "cash provided by operating activities|cash generated by operating activities|cash flow provided by operating activities|cash flows from operating activities"
+)
+_FIGURE_WORDS = "(?:^|\\W)(?:" + _CUES + ")(?:$|\\W)"
 
 
 @query(
@@ -707,7 +715,7 @@ def parse_question(spark: SparkSession, d: str) -> DataFrame:
 )
 def companies_in_questions(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "test_questions").select(F.col("question_id").alias("qid"), F.col("question").alias("text"))
-    return question.companies_in(q, _aliases(spark, d)).where(F.size("tickers") > 0)
+    return question.companies_in(q, _aliases(spark, d)).where(F.size("tickers") > 0).select("qid", "tickers")
 
 
 @query()

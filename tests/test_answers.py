@@ -40,7 +40,7 @@ def test_parsed_questions(spark, aliases):
     q = spark.createDataFrame([(1, "What was Beta's total revenue and ALPHA's in fiscal 2021?"), (2, "Alphabet soup"), (3, None), (4, "Beta Gamma net income in 2020")], "qid long, text string")
     got = {r.qid: r for r in question.parse_questions(q, aliases, 2015, 2025).collect()}
     assert got[1].tickers == ["BET", "ALP"] and got[1].years == [2021] and got[1].metric == "revenue" and got[1].question_type == "comparative"
-    assert got[1].search_text == "What was Beta's total revenue and ALPHA's ?"
+    assert got[1].search_text == "What was total revenue and?" and got[1].asked_metric is None and got[4].asked_metric == "net_income"
     assert got[2].tickers == [] and got[3].tickers == [] and got[3].question_type == "factual"
     assert set(got[4].tickers) == {"BET", "BGM"} and got[4].metric == "net_income"
 
@@ -99,7 +99,73 @@ def test_from_question_to_answer(spark, aliases):
     got = {r.qid: r for r in answers.answer_questions(q, aliases, corpus, facts, answers.extractive, (2015, 2025)).collect()}
     assert got[1].route == "search" and got[1].answer == "Alpha sells pumps. [1]"
     assert got[2].route == "facts" and got[2].answer == "Reported: $1,500."
-    assert [(got[i].route, got[i].reason, got[i].answer) for i in (3, 4, 5)] == [("refused", r, answering.ABSTAIN) for r in ("request", "company", "year")]
+    assert (got[3].route, got[3].reason, got[3].answer) == ("refused", "request", answering.ABSTAIN)
+    # a question without a company is searched over all of them, one about a year that is not there finds nothing
+    assert got[4].route == "search" and got[4].n_sources == 3
+    assert (got[5].route, got[5].reason, got[5].answer) == ("search", "filters_excluded_all", answering.ABSTAIN)
+
+
+READINGS = [
+    ("What did Apple say about its share price?", "factual", None), ("Predict Apple's revenue.", "unanswerable", "request"), ("Should I buy Apple?", "unanswerable", "request"),
+    ("What is Apple's stock price?", "unanswerable", "topic"), ("What will Apple report next year?", "unanswerable", "topic"), ("What did Apple say it expects next year?", "factual", None),
+    ("What was Intel's total revenue?", "unanswerable", "company"), ("How many employees did NVIDIA have?", "unanswerable", "company"), ("Which companies named NVIDIA as a competitor?", "unanswerable", "topic"),
+    ("What was the total revenue of Intel in FY2024?", "unanswerable", "company"), ("Who are customers of Intel by revenue?", "unanswerable", "topic"), ("What was Apple's revenue in FY15?", "unanswerable", "year"),
+    ("Loss Contingency, Estimate of Possible Loss for Apple", "factual", None), ("Based on what Apple disclosed, predict margins", "unanswerable", "request"), ("what did Apple Inc. estimate for 2023", "factual", None),
+    ("How does Apple account for inventories?", "factual", None), ("What were Apple's inventories in 2023?", "numeric", None), ("What was Apple's total value in 2023?", "numeric", None),
+    ("Apple's commercial outlook between 2021 and 2023", "temporal", None), ("What was Apple's accounts receivable in fiscal year 2024?", "numeric", None), ("How does Apple manage accounts receivable risk?", "factual", None),
+]
+
+
+def test_readings(spark):
+    companies = spark.createDataFrame([("Apple", "AAPL"), ("Apple Inc", "AAPL"), ("NVIDIA", None), ("Intel", None)], "alias string, ticker string")
+    q = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(READINGS)], "qid long, text string")
+    got = {r.qid: r for r in question.parse_questions(q, companies, 2021, 2025).collect()}
+    wrong = [(t, got[i].question_type, got[i].because) for i, (t, k, b) in enumerate(READINGS) if (got[i].question_type, got[i].because) != (k, b)]
+    assert not wrong
+    assert got[11].unresolved == ["FY15"] and got[6].unresolved == ["intel"] and got[18].years == [2021, 2022, 2023]
+    assert got[11].described[:2] == ["Question type: unanswerable, searched in case a filing answers it", "Companies: AAPL"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("the CHIPS Act of 2022", []), ("Meta's 2023 headcount", [2023]), ("2000 employees in 2024", [2024]), ("more than 2023 suppliers", []), ("was revenue in 2024 more than 2023?", [2023, 2024]),
+        ("FY22-24", [2022, 2023, 2024]), ("between FY2025 and FY2023", [2023, 2024, 2025]), ("2022 and 2024", [2022, 2024]), ("$2024 million to 2023", [2023]), ("the '10-K of 2021", [2021]),
+    ],
+)
+def test_numbers_that_are_no_years(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(question.years_in(F.col("t"), 2021, 2025).alias("y")).first().y == want
+
+
+@pytest.mark.parametrize(
+    ("text", "named", "asked"),
+    [
+        ("What was total revenue?", "revenue", "revenue"), ("What were Services net sales?", "revenue", None), ("diluted net income per share in 2021", "diluted_eps", "diluted_eps"), ("net income per share", None, None),
+        ("cost of revenue", "revenue", None), ("how does it recognise revenue", "revenue", None), ("revenue and net income", None, None), ("the company's total assets in FY24", "assets", "assets"),
+    ],
+)
+def test_line_items(spark, text, named, asked):
+    r = spark.createDataFrame([(text,)], "t string").select(question.metric_in(F.col("t")).alias("m"), question.asked_metric(F.col("t")).alias("a")).first()
+    assert (r.m, r.a) == (named, asked)
+
+
+def test_what_search_leaves_out(spark):
+    companies = spark.createDataFrame([("Google", "GOOGL"), ("AWS", "AMZN"), ("Amazon", "AMZN"), ("Apple", "AAPL")], "alias string, ticker string")
+    texts = ["What was Google Cloud revenue in FY2024?", "Apple's revenue from 2022 to 2024", "What did AWS earn?", "assets at December 31, 2024 for AAPL", "Apple 2024", "Amazon"]
+    q = spark.createDataFrame(list(enumerate(texts)), "qid long, text string")
+    got = {r.qid: r.search_text for r in question.parse_questions(q, companies, 2021, 2025).collect()}
+    assert [got[i] for i in range(6)] == ["What was Google Cloud revenue?", "revenue", "What did AWS earn?", "assets at December 31, 2024 for", "Apple 2024", "Amazon"]
+
+
+def test_parts_of_a_question(spark, rows):
+    from quarrystone.operators import retrieval
+
+    q = spark.createDataFrame([(1, ["A", "B"], [2020, 2021]), (2, ["A", "B"], [2019, 2020, 2021]), (3, ["A"], [2020, 2021]), (4, [], [2020, 2021]), (5, ["A"], [2020]), (6, None, None)], "qid long, tickers array<string>, years array<int>")
+    got = retrieval.sub_questions(q, 16).select("qid", "label").collect()
+    assert sorted((r.qid, r.label) for r in got) == [
+        (1, "A FY2020"), (1, "A FY2021"), (1, "B FY2020"), (1, "B FY2021"), (2, "A FY2019 FY2020 FY2021"), (2, "B FY2019 FY2020 FY2021"), (3, "A FY2020"), (3, "A FY2021"), (4, "FY2020"), (4, "FY2021"),
+    ]
+    assert retrieval.sub_questions(q, 1).count() == 0
 
 
 def test_matrix(spark):
