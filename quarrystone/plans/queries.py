@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions import numeric, text
 from quarrystone.operators import answering, chunking, facts as figures, grids, index, metrics, quality_gate, question, reports, retrieval
 from quarrystone.operators.components import connected_components
-from quarrystone.storage import table, written
+from quarrystone.storage import kept, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,7 +76,8 @@ SCOPE = {"item": "item"}
 
 
 def _index(spark: SparkSession, d: str) -> retrieval.SparseIndex:
-    return retrieval.fit(passages(spark, d), ["ticker", "fiscal_year", "item", "content_type"])
+    """The index of the documents of a folder, fitted once per application and shared by its queries."""
+    return kept(spark, "index", d, make=lambda: retrieval.fit(passages(spark, d), ["ticker", "fiscal_year", "item", "content_type"]))
 
 
 # ---- retrieval -------------------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or the context's own checkpoint folder.
 
-    Only a session that names neither (a local test) gets a temporary folder of this machine.
+    Only a local session that names neither (a test) gets a temporary folder of this machine; on a cluster, where the executors would not see it, that is refused.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_to.isDefined():
         return set_to.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="quarrystone-")
     spark.sparkContext.setCheckpointDir(own)
     return shared_dir(spark)
@@ -29,18 +31,31 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quarrystone/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a parquet table in the shared folder: cuts the lineage and outlives lost executors."""
+def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """df as a parquet table in the shared folder, in parts by the columns of ``by``: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[tuple[str, ...], object] = {}
+
+
+def kept(spark: SparkSession, *key: str, make):
+    """What ``make`` gives, made once per application and key; for tables that several queries read, until drop_written."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _KEPT:
+        _KEPT[full] = make()
+    return _KEPT[full]
+
+
 def drop_written(spark: SparkSession) -> None:
     """Removes what this application wrote, once no result that reads it is needed any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
