@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystone.functions import numeric, text
+from quarrystone.functions.encoding import hashed_vectors
 from quarrystone.operators import answering, chunking, facts as figures, grids, index, metrics, quality_gate, question, reports, retrieval
 from quarrystone.operators.components import connected_components
+from quarrystone.plans import answers
 from quarrystone.storage import kept, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,6 +237,102 @@ def rerank_pool(spark: SparkSession, d: str) -> DataFrame:
     return again.select("qid", "chunk_id", "was", F.round("score", 6).alias("score"), "rank")
 
 
+def _encoded(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with their hashed vectors, written once per application."""
+    return kept(spark, "vectors", d, make=lambda: written(hashed_vectors(passages(spark, d), "text", ["chunk_id", "ticker", "fiscal_year", "item", "content_type"]), "vectors"))
+
+
+def _encode(questions: DataFrame) -> DataFrame:
+    return hashed_vectors(questions, "text", questions.columns)
+
+
+_VECTORS = (
+    "dv AS (SELECT chunk_id, ('0x' || substr(md5(token), 1, 2))::INT % 64 AS i, sum(CASE WHEN substr(md5(token), 3, 1) < '8' THEN tf ELSE -tf END)::DOUBLE AS v FROM post GROUP BY ALL), "
+    "dn AS (SELECT chunk_id, sqrt(sum(v * v)) AS n FROM dv GROUP BY 1 HAVING sum(v * v) > 0), "
+    "qv AS (SELECT qid, ('0x' || substr(md5(token), 1, 2))::INT % 64 AS i, sum(CASE WHEN substr(md5(token), 3, 1) < '8' THEN qtf ELSE -qtf END)::DOUBLE AS v FROM qt GROUP BY ALL), "
+    "qn AS (SELECT qid, sqrt(sum(v * v)) AS n FROM qv GROUP BY 1 HAVING sum(v * v) > 0), dot AS (SELECT qid, chunk_id, sum(qv.v * dv.v) AS d FROM qv JOIN dv USING (i) GROUP BY ALL), "
+    "cos AS (SELECT q.qid, dl.chunk_id, dl.content_type, round(coalesce(dot.d, 0) / (qn.n * dn.n), 9) AS score FROM q JOIN qn USING (qid) JOIN dl ON (q.item IS NULL OR dl.item = q.item) JOIN dn ON dn.chunk_id = dl.chunk_id "
+    "LEFT JOIN dot ON dot.qid = q.qid AND dot.chunk_id = dl.chunk_id)"
+)
+_WANTS = f"wants AS (SELECT qid, regexp_matches(lower(coalesce(text, '')), '{_FIGURE_WORDS}') AS figures FROM q)"
+
+
+def _boosted_sql(source: str) -> str:
+    return f"SELECT s.qid, s.chunk_id, CASE WHEN w.figures AND s.content_type = 'table' THEN round(CASE WHEN s.score >= 0 THEN s.score * 1.2 ELSE s.score / 1.2 END, 9) ELSE round(s.score, 9) END AS score FROM {source} s JOIN wants w USING (qid)"
+
+
+@query(
+    f"WITH {_TOK}, {_SCOPED}, {_VECTORS}, {_WANTS}, b1 AS ({_boosted_sql('scoped')}), b2 AS ({_boosted_sql('cos')}), l1 AS ({_ranked('b1', 50)}), l2 AS ({_ranked('b2', 50)}), "
+    "parts AS (SELECT qid, chunk_id, 0 AS i, 'bm25' AS s, 1.0::DOUBLE / (60 + rank) AS p FROM l1 UNION ALL SELECT qid, chunk_id, 1, 'dense', 1.0::DOUBLE / (60 + rank) FROM l2), "
+    "fused AS (SELECT qid, chunk_id, round(sum(p), 12) AS score, string_agg(s, ',' ORDER BY i) AS sources FROM parts GROUP BY ALL) "
+    "SELECT qid, chunk_id, round(score, 6) AS score, sources, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 16"
+)
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword and vector lists of the same passages, filtered, tables boosted where figures are wanted, fused."""
+    search = answers.hybrid(_index(spark, d), _encoded(spark, d), _encode, SCOPE)
+    return search(asked(spark, d), 16).select("qid", "chunk_id", F.round("score", 6).alias("score"), "sources", "rank")
+
+
+@query(
+    f"WITH {_TOK}, {_VECTORS}, x AS (SELECT qid, chunk_id, score FROM cos), r AS ({_ranked('x', 10)}) SELECT qid, chunk_id, round(score, 6) AS score, rank FROM r"
+)
+def dense_prefiltered(spark: SparkSession, d: str) -> DataFrame:
+    """Vector search within the item a question names."""
+    return _rounded(retrieval.search_dense(_encoded(spark, d), _encode(asked(spark, d)), 10, on=SCOPE, itself=True))
+
+
+def _two_years(spark: SparkSession, d: str) -> DataFrame:
+    """Questions about a company's year beside the year before."""
+    y = F.col("fiscal_year")
+    return asked(spark, d).where("ticker is not null and fiscal_year is not null").select("qid", "text", "wants_figures", F.array("ticker").alias("tickers"), F.array(y - 1, y).alias("years"))
+
+
+_YEARS = (
+    f"{_WANTS}, qy AS (SELECT question_id AS qid, upper(ticker) AS ticker, fiscal_year FROM test_questions WHERE question_id % 50 = 0 AND ticker IS NOT NULL AND fiscal_year IS NOT NULL), "
+    "qs AS (SELECT qid, ticker, fiscal_year - 1 AS year, 0::BIGINT AS sub FROM qy UNION ALL SELECT qid, ticker, fiscal_year, 1 FROM qy), "
+    "inside AS (SELECT qs.qid, qs.sub, dl.chunk_id, dl.content_type, qs.ticker || ' FY' || qs.year AS label, coalesce(sc.score, 0) AS score FROM qs JOIN dl ON dl.ticker = qs.ticker AND dl.fiscal_year = qs.year LEFT JOIN sc ON sc.qid = qs.qid AND sc.chunk_id = dl.chunk_id), "
+    "up AS (SELECT i.qid, i.sub, i.label, i.chunk_id, CASE WHEN w.figures AND i.content_type = 'table' THEN round(CASE WHEN i.score >= 0 THEN i.score * 1.2 ELSE i.score / 1.2 END, 9) ELSE round(i.score, 9) END AS score FROM inside i JOIN wants w USING (qid)), "
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY qid, sub ORDER BY score DESC, chunk_id) AS r FROM up QUALIFY r <= 16)"
+)
+
+
+@query(f"WITH {_TOK}, {_YEARS} SELECT qid, chunk_id, label, row_number() OVER (PARTITION BY qid ORDER BY r, sub, chunk_id) AS rank FROM rk QUALIFY rank <= 16")
+def decomposed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of two years searched once per year and interleaved."""
+    return answers.search_parts(answers.hybrid(_index(spark, d), None, None), _two_years(spark, d), 16).select("qid", "chunk_id", "label", "rank")
+
+
+@query(
+    f"WITH {_TOK}, {_YEARS}, m AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY r, sub, chunk_id) AS rank FROM rk QUALIFY rank <= 16) "
+    "SELECT qs.qid, qs.ticker || ' FY' || qs.year AS label, count(m.rank) AS n, min(m.rank) AS best FROM qs LEFT JOIN m ON m.qid = qs.qid AND m.label = qs.ticker || ' FY' || qs.year GROUP BY ALL"
+)
+def evidence_by_part(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of each sub-question in the merged list; a part that found nothing is listed."""
+    hits = decomposed_topk(spark, d)
+    parts = retrieval.sub_questions(_two_years(spark, d), 16).select("qid", "label")
+    return parts.join(hits, ["qid", "label"], "left").groupBy("qid", "label").agg(F.count("rank").alias("n"), F.min("rank").alias("best"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "test_questions").where("question_id % 50 = 0").select(F.col("question_id").alias("qid"), F.col("question").alias("text"))
+    names = table(spark, d, "companies").select("ticker", "company")
+    corpus = passages(spark, d).join(names, "ticker", "left").withColumn("title", F.lit(None).cast("string"))
+    facts_ = figures.mark_current_year(table(spark, d, "facts"))
+    encode = lambda x: hashed_vectors(x, "dense_text", x.columns)
+    return answers.answer_questions(q, _aliases(spark, d), corpus, facts_, answers.extractive, (2010, 2030), encode=encode, vectors=_encoded(spark, d))
+
+
+@query()
+def answered_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions read, refused, answered from facts or from hybrid search in parts, generated answers verified."""
+    return _answers(spark, d)
+
+
+@query()
+def answer_routes(spark: SparkSession, d: str) -> DataFrame:
+    return _answers(spark, d).groupBy("route", "reason", "worst").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("parts") > 0).alias("n_split"))
+
+
 # ---- metrics ---------------------------------------------------------------------------------------------------------
 
 _METRIC_SQL = (
