@@ -68,7 +68,7 @@ def passage_sizes(passages: DataFrame, kind: str, size: str, limit: int, toleran
 
 
 def _cut(budget: int):
-    """Pieces that cut_block makes of a long paragraph; the paragraph itself is one more piece where they do not hold all of its characters."""
+    """Pieces that cut_paragraph makes of a long paragraph; the paragraph itself is one more piece where they do not hold all of its characters."""
     bare = lambda t: "".join(t.split())
 
     @F.pandas_udf("array<string>")
@@ -76,7 +76,7 @@ def _cut(budget: int):
         def one(block):
             if block is None:
                 return None
-            made = chunking.cut_block(block, budget)
+            made = chunking.cut_paragraph(block, budget)
             return made if bare("".join(made)) == bare(block) else [*made, block]
 
         return blocks.map(one)
@@ -87,10 +87,11 @@ def _cut(budget: int):
 def prose_kept(blocks: DataFrame, passages: DataFrame, key: str, budget: int = numeric.BUDGET) -> DataFrame:
     """Paragraphs of which no passage of their section holds the text, white space aside.
 
-    A paragraph over the budget stands in several passages: each piece that cut_block makes of it is looked for.
+    A paragraph over the budget stands in several passages: each piece that cut_paragraph makes of it is looked for.
     """
     whole = passages.groupBy(key).agg(F.array_join(F.collect_list(text.squash(F.col("text"))), "\u0000").alias("all"))
-    long_ = F.length("block") > budget
+    # what may be cut: dense paragraphs are at fewer characters
+    long_ = F.length("block") >= F.floor(budget * numeric.chars_per_token(F.col("block")) / numeric.PROSE_PER_TOKEN) - 1
     cut = blocks.select(key, "position", "block", _cut(budget)(F.when(long_, F.col("block"))).alias("cut"))
     pieces = F.transform(F.when(long_, F.col("cut")).otherwise(F.array("block")), text.squash)
     met = cut.select(key, "position", pieces.alias("pieces")).join(whole, key, "left")

@@ -102,6 +102,12 @@ def gold_content(questions: DataFrame, passages: DataFrame) -> DataFrame:
     return met.groupBy("question_id").agg(F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set("content_type")), "+"), F.lit("")), F.lit("none")).alias("content"))
 
 
+def content_of(questions: DataFrame, passages: DataFrame, on: list[str]) -> DataFrame:
+    """gold_content for questions whose supporting passages are all of a company and year: the kinds of each such group meet the questions, not its passages."""
+    kinds = passages.select(*on, "content_type").distinct().groupBy(*on).agg(F.array_join(F.array_sort(F.collect_list("content_type")), "+").alias("kinds"))
+    return questions.join(kinds, on, "left").select("question_id", F.coalesce(F.nullif("kinds", F.lit("")), F.lit("none")).alias("content"))
+
+
 def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """(qid, shared, only_left, only_right) distinct passages of two rankings."""
     l = left.select("qid", "chunk_id").distinct().withColumn("l", F.lit(True))

@@ -181,7 +181,7 @@ _ITEM = re.compile(r"^item\s+(\d{1,2}[a-c]?)\s*[.:—–-]?\s*(.*)$", re.I)
 
 def read_html(html: str) -> list[dict]:
     """Sections of a filing: items by their headings, text between blank lines, tables as grids. The last heading of an item with a body counts, so a table of contents does not."""
-    if not html or not re.search(r"<\s*(?:html|body|div|p|table)\b", html[:20_000], re.I):
+    if not html or not re.search(r"<\s*(?:html|body|div|p|table)\b", html, re.I):
         raise ValueError("no HTML")
     parser = _Blocks()
     parser.feed(html)
@@ -189,7 +189,10 @@ def read_html(html: str) -> list[dict]:
     found: list[dict] = []
     now: dict | None = None
     for kind, value in parser.out:
-        m = _ITEM.match(value) if kind == "text" and len(value) <= 200 else None
+        m = _ITEM.match(value) if kind == "text" else None
+        # a sentence that begins with an item is no heading, however short, and a heading may be long
+        if m and (m.group(2)[:1].islower() or re.search(r"[.!?]\s+\S", m.group(2))):
+            m = None
         if m:
             now = {"item": m.group(1).upper(), "title": m.group(2).strip(" .") or ITEM_TITLES.get(m.group(1).upper(), ""), "blocks": [], "tables": []}
             found.append(now)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -104,18 +103,36 @@ def append_rows(rows: DataFrame, path: str) -> None:
 
 
 def replace_table(rows: DataFrame, path: str, form: str = "parquet") -> None:
-    """Writes beside the old table and moves the new one into its place, so that a reader sees one of the two."""
+    """Writes beside the old table and, once that is complete, moves the old one aside and the new one into its place.
+
+    Between the two moves there is no table at ``path``: a reader then finds nothing, never a mixture, and after a crash there ``recover`` puts a whole table back. A move that the file system refuses is an error and leaves the old table.
+    """
     spark = rows.sparkSession
+    recover(spark, path)
     fs, p, jvm = _path(spark, path)
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    rows.write.format(form).save(fresh)
-    old = jvm.org.apache.hadoop.fs.Path(f"{fresh}.old")
-    if fs.exists(p):
-        fs.rename(p, old)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), p)
+    fresh, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{x}") for x in ("fresh", "old"))
+    fs.delete(fresh, True)
+    rows.write.format(form).save(str(fresh))
+    if fs.exists(p) and not fs.rename(p, old):
+        raise OSError(f"{path} cannot be moved aside")
+    if not fs.rename(fresh, p):
+        if fs.exists(old):
+            fs.rename(old, p)
+        raise OSError(f"the new table cannot be moved to {path}")
     fs.delete(old, True)
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """After a crash inside replace_table: puts the new table in place if it was complete, else the old one back."""
+    fs, p, jvm = _path(spark, path)
+    fresh, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{x}") for x in ("fresh", "old"))
+    if not fs.exists(p) and fs.exists(old):
+        whole = fs.exists(jvm.org.apache.hadoop.fs.Path(fresh, "_SUCCESS"))
+        fs.rename(fresh if whole else old, p)
+    if fs.exists(p):
+        fs.delete(old, True)
+
+
 def new_only(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not done yet: the increment of a resumable stage."""
     return rows.join(done.select(key).distinct(), key, "left_anti")

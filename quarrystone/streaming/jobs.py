@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarrystone.sources.records import exists, replace_table
+from quarrystone.storage import written
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -37,15 +38,30 @@ def once(stream: DataFrame, path: str, checkpoint: str, form: str = "parquet") -
     return stream.writeStream.format(form).outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_latest(stream: DataFrame, path: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest row of each key in a table: every batch is merged with the stored rows and put in place as a whole, so a batch that is repeated after a failure changes nothing."""
+def upsert_latest(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, buckets: int = 1) -> StreamingQuery:
+    """Keeps the newest row of each key in a table; a batch that is repeated after a failure changes nothing.
+
+    With several ``buckets`` the table lies in folders by the hash of the key (column ``bucket``), and a batch reads, merges and replaces only the buckets it has rows of; with one it replaces the table as a whole.
+    """
+
+    def newest(rows: DataFrame) -> DataFrame:
+        others = [c for c in rows.columns if c != key]
+        return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(F.col(order), F.xxhash64(*others))).alias("r")).select(key, "r.*").select(*rows.columns)
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = batch if not exists(spark, path) else spark.read.schema(batch.schema).parquet(path).unionByName(batch)
-        others = [c for c in rows.columns if c != key]
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(F.col(order), F.xxhash64(*others))).alias("r")).select(key, "r.*").select(*rows.columns)
-        replace_table(newest, path)
+        if buckets == 1:
+            stored = batch if not exists(spark, path) else spark.read.schema(batch.schema).parquet(path).unionByName(batch)
+            replace_table(newest(stored), path)
+            return
+        rows = written(batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "batch")
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        if exists(spark, path):
+            rows = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(*touched)).unionByName(rows)
+        merged = written(newest(rows), "merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -62,6 +62,13 @@ def test_even_sample_keeps_both_ends(spark, rows):
     assert metrics.even_sample(d, "id", 20).count() == 10
 
 
+def test_even_sample_of_many_with_ties(spark):
+    d = spark.range(5000).select((F.col("id") % 700).alias("id"), F.col("id").alias("n"))
+    got = [r.id for r in metrics.even_sample(d, "id", 11).orderBy("id").collect()]
+    want = sorted(i % 700 for i in range(5000))
+    assert got == [want[i * 4999 // 10] for i in range(11)]
+
+
 def test_extremes_name_all_ties(spark, rows):
     g = spark.createDataFrame([("a", 0.501), ("b", 0.499), ("c", 0.1), ("d", None)], "g string, m double")
     assert rows(metrics.extremes(g, "g", "m")) == [("a", "strongest", 0.5), ("b", "strongest", 0.5), ("c", "weakest", 0.1)]

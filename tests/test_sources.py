@@ -129,6 +129,37 @@ def test_upserts_keep_the_newest_row(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(1, "c", 2), (2, "b", 1), (3, "d", 1)]
 
 
+def test_upserts_touch_only_the_buckets_of_a_batch(spark, tmp_path):
+    kind = "id long, v string, at long"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    stamps = []
+    for batch in ([(i, "a", 1) for i in range(40)], [(7, "c", 2)]):
+        spark.createDataFrame(batch, kind).write.mode("append").parquet(src)
+        streams.upsert_latest(streams.follow(spark, src, kind, "parquet"), out, "id", "at", str(tmp_path / "c"), buckets=4).awaitTermination()
+        stamps.append({str(p) for p in (tmp_path / "out").rglob("*.parquet")})
+    got = spark.read.parquet(out)
+    assert got.count() == 40 and got.where("id = 7").first().v == "c" and len(stamps[0] & stamps[1]) >= 3
+
+
+def test_a_table_is_whole_after_a_crash_between_two_moves(spark, tmp_path):
+    t = str(tmp_path / "t")
+    records.replace_table(spark.range(3), t)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    records.recover(spark, t)
+    assert spark.read.parquet(t).count() == 3
+    spark.range(5).write.parquet(f"{t}.fresh")
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    records.recover(spark, t)
+    assert spark.read.parquet(t).count() == 5 and not (tmp_path / "t.old").exists()
+
+
+def test_headings_may_be_long_and_sentences_are_none():
+    long_title = "Item 5. " + "Market for Registrant's Common Equity, Related Stockholder Matters " * 5
+    page = f"<html><body><!--{'x' * 30000}--><p>{long_title}</p><p>We have holders.</p><p>Item 7 of this report discusses it.</p><p>Item 9A. Controls. They are good. Very good.</p></body></html>"
+    got = filings.read_html(page)
+    assert [s["item"] for s in got] == ["5"] and len(got[0]["blocks"]) == 3
+
+
 def test_partial_answers_only_grow():
     whole = '```json\n{"answerable": true, "sentences": [{"text": "A \\"b\\" \\u00e9\\n.", "sources": [1]}, {"text": "Next one.", "sources": []}]}\n```'
     shown = [streams.partial_prose(whole[:i]) for i in range(len(whole) + 1)]
