@@ -78,9 +78,7 @@ def lookup_any(facts: DataFrame, requests: DataFrame) -> DataFrame:
 def prints_figure(text: Column, forms: Column) -> Column:
     """Any printed form stands in the text with no digit, separator or decimal point joined to it."""
     padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
-    one = lambda f: F.contains(padded, f) & padded.rlike(
-        F.concat(F.lit(r"(?<![\d.,])"), F.regexp_replace(f, r"([.])", r"\\\\$1"), F.lit(r"(?![\d]|[.,]\d)"))
-    )
+    one = lambda f: F.contains(padded, f) & F.rlike(padded, F.concat(F.lit(r"(?<![\d.,])\Q"), f, F.lit(r"\E(?![\d]|[.,]\d)")))
     return F.exists(forms, one)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import numeric, text
 from quarrystone.functions.encoding import hashed_vectors
-from quarrystone.operators import answering, chunking, facts as figures, grids, index, metrics, quality_gate, question, reports, retrieval
+from quarrystone.operators import answering, chunking, evaluation, facts as figures, grids, index, metrics, quality_gate, question, reports, retrieval
 from quarrystone.operators.components import connected_components
 from quarrystone.plans import answers
 from quarrystone.storage import kept, table, written
@@ -1061,3 +1061,106 @@ def complete_json(spark: SparkSession, d: str) -> DataFrame:
 def line_summary(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+# ---- question sets and saved scores ----------------------------------------------------------------------------------
+
+@query(
+    f"WITH {_FACTS}, c AS (SELECT *, {_EXACT} AS printed FROM d WHERE {_CURRENT} AND trim(accession) <> ''), e AS (SELECT *, coalesce(printed, TRY_CAST(value AS DECIMAL(38,10))) AS exact, "
+    "coalesce(nullif(trim(label), ''), concept, 'figure') AS l0 FROM c), "
+    "p AS (SELECT *, coalesce(nullif(regexp_replace(regexp_replace(l0, '\\s+', ' ', 'g'), '^[. ]+|[. ]+$', '', 'g'), ''), 'figure') AS name, upper(trim(ticker)) AS t FROM e WHERE exact IS NOT NULL), "
+    "k AS (SELECT *, unnest([1, 1000, 1000000]) AS s FROM p), "
+    "f AS (SELECT accession, t, fiscal_year, name, unit, value, raw_value, loaded_at, concept, period_start, period_end, fiscal_period, CAST(floor(abs(exact) / s) AS BIGINT) AS v FROM k WHERE abs(exact) % s = 0 AND abs(exact) / s >= 100), "
+    "n AS (SELECT *, unnest([v::VARCHAR, format('{:,}', v)]) AS form FROM f), "
+    "pages AS (SELECT accession, accession || '-' || coalesce(statement_type, 'none') AS section_key, string_agg(raw_value, ' | ') AS text FROM d GROUP BY ALL), "
+    "g AS (SELECT section_key, accession, array_to_string(list_distinct(regexp_extract_all(coalesce(text, ''), '\\d[\\d,]*')), ' ') AS digits FROM pages), "
+    "m AS (SELECT DISTINCT n.t, n.fiscal_year, n.name, n.unit, n.accession, n.concept, n.period_start, n.period_end, n.fiscal_period, n.value, n.raw_value, g.section_key FROM n JOIN g ON g.accession = n.accession AND contains(g.digits, n.form)), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY t, fiscal_year, name, unit, accession, concept, period_start, period_end, fiscal_period, value, raw_value ORDER BY section_key) AS i FROM m) "
+    "SELECT t AS ticker, fiscal_year, count(DISTINCT (name, unit, accession, concept, period_start, period_end, fiscal_period, value, raw_value)) AS n_questions, count(*) AS n_supporting FROM r WHERE i <= 3 GROUP BY ALL"
+)
+def generated_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions made from current facts that a statement page of their filing prints, counted by company and year; a page holds the figures of one kind of statement."""
+    f = figures.mark_current_year(figures.first_of_each(table(spark, d, "facts")))
+    kind = F.concat("accession", F.lit("-"), F.coalesce("statement_type", F.lit("none")))
+    pages = f.groupBy("accession", kind.alias("chunk_id")).agg(F.array_join(F.collect_list("raw_value"), " | ").alias("text"))  # the figures of one filing
+    made = evaluation.generated_questions(f, pages)
+    return made.groupBy("ticker", "fiscal_year").agg(F.count(F.lit(1)).alias("n_questions"), F.sum(F.size("supporting")).cast("long").alias("n_supporting"))
+
+
+def _scored_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Saved answers with what their question is: model as configuration, answerable as score."""
+    q = table(spark, d, "test_questions").select(F.col("question_id"), "item", "form", F.when(F.col("paraphrase"), "mechanical").otherwise("hand").alias("difficulty"), F.col("source"))
+    g = table(spark, d, "generations").select("generation_id", "question_id", F.coalesce("model", F.lit("none")).alias("model"), F.col("answerable").cast("int").cast("double").alias("score"), "latency_ms", "answerable", "input_tokens", "output_tokens")
+    rows = g.join(q, "question_id", "left")
+    return rows.withColumn("benchmark", evaluation.benchmark_kind(F.col("question_id"), F.col("source"), F.col("difficulty")))
+
+
+_SAVED = (
+    "a AS (SELECT g.*, coalesce(g.model, 'none') AS config, g.answerable::INT::DOUBLE AS score, q.item, q.form, CASE WHEN q.paraphrase OR lower(coalesce(q.source, '')) = 'xbrl' THEN 'mechanical' ELSE 'handwritten' END AS benchmark FROM generations g LEFT JOIN test_questions q USING (question_id))"
+)
+
+
+@query(
+    f"WITH {_SAVED}, l AS (SELECT config, benchmark, 'item' AS \"grouping\", item AS name, score, latency_ms FROM a UNION ALL SELECT config, benchmark, 'form', form, score, latency_ms FROM a), "
+    "m AS (SELECT config, benchmark, 'score' AS measure, \"grouping\", name, count(*) AS n, count(score) AS n_scored, round(avg(score), 6) AS mean FROM l WHERE name IS NOT NULL GROUP BY ALL "
+    "UNION ALL SELECT config, benchmark, 'latency_ms', \"grouping\", name, count(*), count(latency_ms), round(avg(latency_ms), 6) FROM l WHERE name IS NOT NULL GROUP BY ALL) "
+    "SELECT config AS model, benchmark, measure, \"grouping\", name, n, n_scored, mean FROM m QUALIFY count(*) OVER (PARTITION BY config, benchmark, measure, \"grouping\") > 1 AND sum(n_scored) OVER (PARTITION BY config, benchmark, measure, \"grouping\") > 0"
+)
+def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.breakdown(_scored_answers(spark, d), ["model", "benchmark"], ["item", "form"], ["score", "latency_ms"])
+
+
+@query(
+    f"WITH {_SAVED} SELECT config AS model, item, count(*) AS n, count(score) AS n_scored, round(avg(score), 6) AS mean FROM a WHERE item IS NOT NULL GROUP BY ALL HAVING count(score) >= 10"
+)
+def track_records(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.track_record(_scored_answers(spark, d), ["model"], "item", "score")
+
+
+@query(
+    f"WITH {_SAVED}, s AS (SELECT config, avg(score) AS s FROM a GROUP BY 1), b AS (SELECT max(s) AS best FROM s), w AS (SELECT config, s, best, CASE WHEN s >= 1 THEN '10 in 10' WHEN least(round_even(s * 10, 0), 9) >= 1 THEN least(round_even(s * 10, 0), 9)::INT || ' in 10' ELSE 'fewer than 1 in 10' END AS w, "
+    "CASE WHEN best >= 1 THEN '10 in 10' WHEN least(round_even(best * 10, 0), 9) >= 1 THEN least(round_even(best * 10, 0), 9)::INT || ' in 10' ELSE 'fewer than 1 in 10' END AS wb FROM s, b) "
+    "SELECT config AS model, CASE WHEN w = wb THEN round_even(s * 100, 0)::INT || '%' ELSE w END AS said FROM w"
+)
+def worded_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored_answers(spark, d).groupBy("model").agg(F.avg("score").alias("s"))
+    best = s.agg(F.max("s").alias("best"))
+    return s.crossJoin(F.broadcast(best)).select("model", evaluation.worded(F.col("s"), F.col("best")).alias("said"))  # one row
+
+
+@query(
+    f"WITH {_SAVED} SELECT config AS model, count(*) AS calls, count(*) FILTER (input_tokens IS NOT NULL AND output_tokens IS NOT NULL) AS known, count(*) FILTER (input_tokens IS NULL OR output_tokens IS NULL) AS unknown, "
+    "sum(input_tokens) FILTER (output_tokens IS NOT NULL)::BIGINT AS tokens_in, sum(output_tokens) FILTER (input_tokens IS NOT NULL)::BIGINT AS tokens_out FROM a GROUP BY 1"
+)
+def usage_totals(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.usage(_scored_answers(spark, d), ["model"])
+
+
+@query(
+    f"WITH {_SAVED} SELECT config AS model, count(*) AS n, count(*) FILTER (NOT coalesce(answerable, false)) AS abstained, round(avg(score) FILTER (coalesce(answerable, false)), 6) AS correctness_mean, count(score) FILTER (coalesce(answerable, false)) AS correctness_scored, "
+    "quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95, round(count(*) FILTER (answerable IS NULL) / count(*), 6) AS unreadable_share FROM a GROUP BY 1"
+)
+def answer_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.answer_summary(_scored_answers(spark, d).withColumn("correctness", F.col("score")), ["model"])
+
+
+@query(
+    f"WITH {_TOK}, {_ALL}, {_RELEVANT}, hit AS ({_ranked('full_', 16)}), {_METRIC_SQL}, k AS (SELECT m.*, CASE WHEN q.paraphrase OR lower(coalesce(q.source, '')) = 'xbrl' THEN 'mechanical' ELSE 'handwritten' END AS benchmark FROM m JOIN test_questions q ON q.question_id = m.qid) "
+    "SELECT benchmark, count(*) AS n, round(avg(recall), 6) AS recall_mean, count(recall) AS recall_scored, round(avg(ndcg), 6) AS ndcg_mean, count(ndcg) AS ndcg_scored, round(avg(mrr), 6) AS mrr_mean, count(mrr) AS mrr_scored, "
+    "nullif(median(CASE WHEN mrr > 0 THEN round_even(1 / mrr, 0) WHEN mrr IS NOT NULL THEN 'inf'::DOUBLE END), 'inf'::DOUBLE)::VARCHAR AS median_rank FROM k GROUP BY 1"
+)
+def saved_benchmark_metrics(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "test_questions").select(F.col("question_id").alias("qid"), evaluation.benchmark_kind(F.lit(""), F.col("source"), F.when(F.col("paraphrase"), "mechanical")).alias("benchmark"))
+    return evaluation.saved_metrics(_scored(spark, d).join(kinds, "qid"), ["benchmark"]).withColumn("median_rank", F.col("median_rank").cast("string"))
+
+
+@query(
+    "WITH t AS (SELECT section_key, unnest(tables) AS t FROM sections), r AS (SELECT section_key, unnest(t.rows) AS row FROM t), o AS (SELECT list_filter(list_transform(row, lambda x: trim(regexp_replace(coalesce(x, ''), '\\s+', ' ', 'g'))), lambda x, i: i % 2 = 1) AS odd FROM r) "
+    "SELECT count(*) AS n_rows, 0 AS n_lost FROM o"
+)
+def traced_table_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every other cell of each table row, looked for in order in the rows of its table."""
+    t = table(spark, d, "sections").select("section_key", F.explode("tables").alias("t")).select("section_key", "t.table_index", "t.rows")
+    rows = t.select("section_key", "table_index", F.explode("rows").alias("row")).withColumn("row", F.filter("row", lambda c, i: i % 2 == 0))
+    lost = evaluation.traced_rows(rows, t, ["section_key", "table_index"]).agg(F.count(F.lit(1)).alias("n_lost"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(lost)  # one row each
