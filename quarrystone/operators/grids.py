@@ -15,12 +15,19 @@ from quarrystone.functions import numeric
 #: A figure, and the shares that make a block debris.
 FIGURE = re.compile(r"\d[\d,]{3,}")
 DENSE, FAINT, LEFT_OVER = 0.3, 0.15, 0.2
-#: How a statement is headed.
+#: The statements a filer names, what a heading of one may look like, and a company's name before it.
+STATEMENT_NAMES = r"operations|comprehensive\s+income|comprehensive\s+loss|income|earnings|cash\s+flows?|shareholders.{0,3}\s*equity|stockholders.{0,3}\s*equity|equity|financial\s+position"
 STATEMENT = (
-    r"(?i)^(?:consolidated |combined |condensed )*(?:statements? of (?:cash flows?|(?:comprehensive )?(?:income|loss|operations|earnings)(?: \(loss\))?|financial position|stockholders['’]? equity|"
-    r"shareholders['’]? equity|operations|changes in equity)|balance sheets?|(?:cash flows?|income|comprehensive income|operations|stockholders['’]? equity) statements?)\b.{0,60}$"
+    rf"(?i)^(?:consolidated\s+|combined\s+|condensed\s+)?(?:statements?\s+of\s+(?:{STATEMENT_NAMES})(?:\s*\(loss\))?(?:\s+and\s+(?:{STATEMENT_NAMES})(?:\s*\(loss\))?)*"
+    rf"|(?:{STATEMENT_NAMES})\s+statements?|balance\s+sheets?)(?:\s*[(\[].*)?(?:\s+(?:as\s+of|for\s+the)\s.*)?[.:]?$"
 )
-TITLE_LINES, TITLE_OVERLAP = 8, 0.5
+COMPANY_BEFORE = r"(?i)^.{0,60}?\b(?:inc|corp|corporation|company|co|plc|ltd|limited|holdings|group|n\.v|s\.a|ag|se)\b\.?,?\s+"
+TITLE_WORDS = tuple("consolidated combined condensed statement statements of cash flow flows balance sheet sheets income loss comprehensive operations earnings stockholders shareholders equity financial position".split())
+MARKDOWN_NOISE = r"[*\\#]"
+#: Written lines between a heading and its table, the share of labels that must agree, and lines that may part a wrapped row.
+TITLE_LINES, TITLE_OVERLAP, TITLE_GAP = 8, 0.5, 3
+#: The heading with its spacing left out, for letters that arrive spaced out.
+_SQUEEZED = STATEMENT.replace(r"\s+", "").replace(r"\s*", "").replace(r"\s.*", ".*")
 
 
 def is_label(cell: Column) -> Column:
@@ -178,31 +185,98 @@ def marked_debris(sections: DataFrame, blocks: DataFrame, key: str) -> DataFrame
     return judged.drop("cells").unionByName(met.where("cells is null").drop("cells").withColumn("debris", F.lit(False)))
 
 
+def markdown_text(line: Column) -> Column:
+    """A markdown line as its words: emphasis, escapes, bullets before it and repeated spaces removed."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(line, F.lit("")), MARKDOWN_NOISE, ""), r"\s+", " "))
+    return F.regexp_replace(plain, r"^[^0-9A-Za-z(]+", "")
+
+
+def is_bulleted(line: Column) -> Column:
+    """Opens with a bullet sign; a row of a table does not."""
+    plain = F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), MARKDOWN_NOISE, ""))
+    return plain.rlike(r"^[^\p{L}\p{N}(|]")
+
+
+def statement_tail(text: Column) -> Column:
+    """The heading of a statement that a text is, with a company's name before it left out and letters spaced out allowed; null where it is none."""
+    written = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    bare = F.regexp_replace(written, COMPANY_BEFORE, "")
+    is_one = lambda c: (c != "") & (c.rlike(STATEMENT) | F.replace(c, F.lit(" "), F.lit("")).rlike(_SQUEEZED))
+    return F.when(is_one(written), written).when(is_one(bare), bare)
+
+
+def title_candidate(line: Column) -> Column:
+    """The heading a line could hold: the line itself, the one written cell of a row, or the one cell of several that names a statement."""
+    plain = markdown_text(line)
+    cells = F.filter(F.transform(F.split(F.regexp_replace(plain, r"^\|+|\|+$", ""), r"\|"), F.trim), lambda c: c != "")
+    named = F.filter(cells, lambda c: statement_tail(c).isNotNull())
+    return F.when(~F.contains(plain, F.lit("|")), plain).when(F.size(cells) == 1, cells[0]).when(F.size(named) == 1, named[0]).otherwise(plain)
+
+
 def names_statement(line: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(line, F.lit("")), r"[*_#>`\\]", ""), r"^[^0-9A-Za-z(]+", ""))
-    return plain.rlike(STATEMENT)
+    return statement_tail(markdown_text(line)).isNotNull()
+
+
+_SPACED = re.compile(r"(?<![A-Za-z])(?:" + "|".join(" ?".join(w) for w in sorted(TITLE_WORDS, key=len, reverse=True)) + r")(?![A-Za-z])", re.I)
+
+
+def clean_title(text: Column) -> Column:
+    """A heading without cells beside it, a stop at its end and spaces inside its words."""
+
+    @F.pandas_udf("string")
+    def joined(titles: pd.Series) -> pd.Series:
+        return titles.map(lambda t: None if t is None else _SPACED.sub(lambda m: m.group().replace(" ", ""), t))
+
+    first = F.regexp_replace(F.trim(F.element_at(F.split(F.coalesce(statement_tail(text), text), r"\|"), 1)), r"[.:]+$", "")
+    return joined(F.trim(first))
 
 
 def statement_titles(lines: DataFrame, tables: DataFrame, key: str) -> DataFrame:
     """(key, table_index, title): the statement heading above the run of pipe lines whose first cells overlap most with a table's.
 
-    lines(key, position, line) of the section's text, tables(key, table_index, labels array<string>) with the first cell of each row. A run of pipe lines takes the nearest heading within eight
-    written lines above it; a table takes the first of the runs with the largest overlap of labels, by half at least of the smaller side.
+    lines(key, position, line) of the section's text, tables(key, table_index, labels array<string>) with the first cell of each row. Pipe lines parted by up to three written lines without a heading are one run; a run takes
+    the nearest heading within eight written lines above it, or in its rows; a heading that is one bullet of several is an entry of an index and none. A table takes the first of the runs with the largest overlap of
+    labels, by half at least of the smaller side.
     """
     w = W.partitionBy(key).orderBy("position")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
     written = lines.where("trim(line) <> ''")
-    is_row = F.col("line").rlike(r"^\s*\|")
-    n = F.row_number().over(w)
-    marked = written.withColumn("row", is_row).withColumn("n", n)
-    title_at = F.last(F.when(~F.col("row") & names_statement(F.col("line")), F.struct("n", "line")), ignorenulls=True).over(w)
-    starts = F.col("row") & ~F.coalesce(F.lag("row").over(w), F.lit(False))
-    runs = marked.withColumn("title", title_at).withColumn("run", F.sum(starts.cast("int")).over(w)).where("row")
+    marked = written.select(key, "position", "line", F.col("line").rlike(r"^\s*\|").alias("row"), is_bulleted(F.col("line")).alias("bullet"), statement_tail(title_candidate(F.col("line"))).alias("named"), F.row_number().over(w).alias("n"))
+    listed = F.col("bullet") & (F.coalesce(F.lag("bullet").over(w), F.lit(False)) | F.coalesce(F.lead("bullet").over(w), F.lit(False)))
+    marked = marked.withColumn("title", F.when(F.col("named").isNotNull() & ~listed, F.struct("n", "named")))
+    above = F.last("title", ignorenulls=True).over(w)
+    last_row = F.last(F.when(F.col("row"), F.col("n")), ignorenulls=True).over(before)
+    placed = marked.withColumn("above", above).withColumn("last_row", last_row)
+    starts = F.col("row") & (F.col("last_row").isNull() | (F.col("n") - F.col("last_row") - 1 > TITLE_GAP) | ((F.col("above.n") > F.col("last_row")) & (F.col("above.n") < F.col("n"))))
+    runs = placed.withColumn("run", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(w)).where("row")
     first = F.lower(F.trim(F.element_at(F.split("line", r"\|"), 2)))
-    blocks = runs.groupBy(key, "run").agg(F.min(F.struct("n", "title")).alias("top"), F.collect_set(first).alias("names"))
-    near = F.when(F.col("top.n") - F.col("top.title.n") <= TITLE_LINES, F.col("top.title.line"))
+    # a heading inside the rows counts where none stands above
+    blocks = runs.groupBy(key, "run").agg(F.min(F.struct("n", "above")).alias("top"), F.min("title").alias("inside"), F.collect_set(first).alias("names"))
+    near = F.coalesce(F.when(F.col("top.n") - F.col("top.above.n") <= TITLE_LINES, F.col("top.above.named")), F.col("inside.named"))
     blocks = blocks.select(key, "run", near.alias("title"), F.filter("names", lambda x: ~x.rlike(r"^[-\s]*$")).alias("names"))
-    t = tables.select(key, "table_index", F.array_distinct(F.filter(F.transform("labels", lambda x: F.lower(F.trim(x))), lambda x: x != "")).alias("labels"))
+    t = tables.select(key, "table_index", F.array_distinct(F.filter(F.transform("labels", lambda x: F.lower(F.trim(x))), lambda x: ~x.rlike(r"^[-\s]*$"))).alias("labels"))
     both = F.size(F.array_intersect("labels", "names")) / F.least(F.size("labels"), F.size("names"))
     met = t.join(blocks, key).withColumn("overlap", both).where(F.col("overlap") >= TITLE_OVERLAP)
     best = W.partitionBy(key, "table_index").orderBy(F.desc("overlap"), "run")
-    return met.withColumn("k", F.row_number().over(best)).where("k = 1 and title is not null").select(key, "table_index", F.trim(F.regexp_replace("title", r"[*_#>`\\]", "")).alias("title"))
+    kept = met.withColumn("__place", F.row_number().over(best)).where("__place = 1 and title is not null")
+    return kept.select(key, "table_index", clean_title(F.col("title")).alias("title"))
+
+
+def without_repeated_columns(headers: list[str], rows: list[list[str]]) -> tuple[list[str], list[list[str]]]:
+    """A grid without columns that say what the column before says: a cell that spans several columns is read into each. A column goes if its heading and every cell equal those before it, or are blank."""
+    keep = [0] if headers else []
+    for c in range(1, len(headers)):
+        last = keep[-1]
+        pairs = [(headers[last], headers[c]), *((r[last], r[c]) for r in rows)]
+        if not all(b in ("", a) for a, b in pairs):
+            keep.append(c)
+    return [headers[c] for c in keep], [[r[c] for c in keep] for r in rows]
+
+
+_VALUE = r"\(?[$€£]?\s?\d[\d,.]*\)?%?"
+
+
+def split_values(cell: str) -> list[str]:
+    """Figures that were run together in one cell, apart; any other cell stays whole."""
+    found = re.findall(_VALUE, cell)
+    return [f.strip() for f in found] if len(found) > 1 and not re.sub(_VALUE, "", cell).strip(" |") else [cell]

@@ -964,12 +964,20 @@ def table_debris(spark: SparkSession, d: str) -> DataFrame:
     return grids.marked_debris(s, _section_blocks(spark, d), "section_key").groupBy("section_key").agg(F.count_if("debris").alias("n_debris"), F.count(F.lit(1)).alias("n_blocks"))
 
 
-@query()
+_HEADS = ("**CONSOLIDATED BALANCE SHEETS**", "Acme Corp. Consolidated Statements of Cash Flows (In millions)", "Notes to the statements")
+
+
+@query(
+    "WITH t AS (SELECT section_key, unnest(tables) AS t FROM sections) SELECT section_key * 1000 + t.table_index AS table_key, CASE t.table_index % 3 WHEN 0 THEN 'CONSOLIDATED BALANCE SHEETS' ELSE 'Consolidated Statements of Cash Flows (In millions)' END AS title "
+    "FROM t WHERE t.table_index % 3 < 2 AND len(list_filter(t.rows, lambda r: regexp_matches(trim(coalesce(r[1], '')), '[^-\\s]'))) > 0"
+)
 def statement_titles(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sections")
-    lines = s.select("section_key", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\\r\\n?|\\n")).alias("position", "line"))
-    tables = s.select("section_key", F.explode("tables").alias("t")).select("section_key", "t.table_index", F.transform("t.rows", lambda r: F.get(r, F.lit(0))).alias("labels"))
-    return grids.statement_titles(lines, tables, "section_key")
+    """Every table as lines under one of three headings, two of which name a statement."""
+    t = table(spark, d, "sections").select("section_key", F.explode("tables").alias("t")).select((F.col("section_key") * 1000 + F.col("t.table_index")).alias("table_key"), "t.table_index", "t.rows")
+    head = F.array(*[F.lit(h) for h in _HEADS])[F.pmod("table_index", F.lit(3))]
+    lines = t.select("table_key", F.posexplode(F.concat(F.array(head, F.lit("")), F.transform("rows", text.pipe_row))).alias("position", "line"))
+    tables = t.select("table_key", F.lit(0).alias("table_index"), F.transform("rows", lambda r: F.get(r, F.lit(0))).alias("labels"))
+    return grids.statement_titles(lines, tables, "table_key").select("table_key", "title")
 
 
 @query(

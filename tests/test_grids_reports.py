@@ -102,3 +102,27 @@ def test_ranking_checks(spark, rows):
     assert rows(reports.gold_filings(q, p)) == [("x", ["A 2020", "A 2021"])]
     assert rows(reports.gold_content(q, p)) == [("x", "prose+table"), ("y", "none"), ("z", "none")]
     assert reports.kept_columns(spark.createDataFrame([(1, None)], "a int, b int"), ["a"]).columns == ["a"]
+
+
+def test_headings_of_statements(spark):
+    cases = {
+        "CONSOLIDATED BALANCE SHEETS": "CONSOLIDATED BALANCE SHEETS", "**Statements of Operations and Comprehensive Income (Loss)**": "Statements of Operations and Comprehensive Income (Loss)",
+        "Acme, Inc. Consolidated Statements of Cash Flows (in millions)": "Consolidated Statements of Cash Flows (in millions)", "Balance sheets as of December 31, 2024 and 2023": "Balance sheets as of December 31, 2024 and 2023",
+        "CASH FLOWS S TATEMENTS": "CASH FLOWS STATEMENTS", "Amounts recognized on our Consolidated Balance Sheets as of May are:": None, "| Part II | Acme, Inc. | Income Statements |": "Income Statements", "Statement of throughput": None,
+    }
+    d = spark.createDataFrame([(k,) for k in cases], "line string").withColumn("tail", grids.statement_tail(grids.title_candidate(F.col("line"))))
+    got = {r.line: r.title for r in d.withColumn("title", grids.clean_title(F.col("tail"))).collect()}
+    assert got == cases
+
+
+def test_an_index_of_statements_heads_no_table(spark):
+    text = ["List of statements:", "• Balance sheets", "• Notes", "• Schedule", "We comment.", "| Cash | 1 |", "| Debt | 2 |"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)] + [(2, i, t) for i, t in enumerate(["• Balance sheets", "| Cash | 1 |", "continued", "| Debt | 2 |"])], "k long, position int, line string")
+    tables = spark.createDataFrame([(1, 0, ["Cash", "Debt"]), (2, 0, ["Cash", "Debt"])], "k long, table_index int, labels array<string>")
+    assert [(r.k, r.title) for r in grids.statement_titles(lines, tables, "k").collect()] == [(2, "Balance sheets")]
+
+
+def test_columns_and_cells_of_a_grid():
+    assert grids.without_repeated_columns(["a", "a", "b", ""], [["1", "1", "2", ""], ["3", "", "4", "4"]]) == (["a", "b"], [["1", "2"], ["3", "4"]])
+    assert grids.without_repeated_columns([], []) == ([], [])
+    assert grids.split_values("$1,234 $5,678") == ["$1,234", "$5,678"] and grids.split_values("Note 12 of 3") == ["Note 12 of 3"] and grids.split_values("(1.5)%") == ["(1.5)%"]
