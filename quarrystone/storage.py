@@ -31,11 +31,22 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quarrystone/{spark.sparkContext.applicationId}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
-    """df as a parquet table in the shared folder, in parts by the columns of ``by``: cuts the lineage and outlives lost executors."""
+    """df as a parquet table in the shared folder, in parts by the columns of ``by``: cuts the lineage and outlives lost executors.
+
+    The shuffle files of the write go as soon as it is done, since nothing reads them again; else they would stay until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=by)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, partitionBy=by)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
