@@ -792,8 +792,8 @@ def chunk_integrity(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def corpus_gate(spark: SparkSession, d: str) -> DataFrame:
     sections = table(spark, d, "sections")
-    pieces = written(chunking.prose_passages(sections, "section_key"), "passages")
-    paragraphs = chunking.kept_paragraphs(sections, "section_key")
+    paragraphs = written(chunking.kept_paragraphs(sections, "section_key"), "paragraphs")
+    pieces = written(chunking.prose_passages(sections, "section_key", blocks=paragraphs), "passages")
     sizes = pieces.select(F.lit("prose").alias("content_type"), "n_chars")
     checks = {
         "coverage": _coverage_rows(spark, d),
