@@ -37,6 +37,7 @@ def moved(spark) -> int:
 #: Bytes shuffled at most; a row of six bytes for each question and passage would be 2.9 MB.
 MOST = {
     "decomposed_topk": 1_000_000,
+    "evidence_by_part": 1_000_000,
 }
 
 
