@@ -38,6 +38,7 @@ def moved(spark) -> int:
 MOST = {
     "decomposed_topk": 1_000_000,
     "evidence_by_part": 1_000_000,
+    "rrf_fusion": 1_000_000,
 }
 
 
