@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quarrystone import storage
+from quarrystone.operators import metrics
 
 N_DOCS, N_ASKED = 6000, 80
 
@@ -41,6 +42,7 @@ MOST = {
     "rrf_fusion": 1_000_000,
     "round_robin_merge": 1_000_000,
     "rerank_pool": 1_000_000,
+    "retrieval_metrics": 1_000_000,
 }
 
 
@@ -50,3 +52,11 @@ def test_pairs_are_not_moved(spark, folder, name):
     before = moved(spark)
     entry.queries()[name](spark, folder).collect()
     assert moved(spark) - before < MOST[name]
+
+
+def test_relevance_by_a_column_equals_listed_pairs(spark, rows):
+    hits = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 10, 1), (3, 12, 1), (5, 10, 3)], "qid long, chunk_id long, rank long")
+    q = spark.createDataFrame([(1, "A"), (2, "B"), (3, None), (4, "A"), (5, "A")], "qid long, ticker string")
+    p = spark.createDataFrame([(10, "A"), (10, "A"), (11, "B"), (12, None), (13, "A"), (None, "A")], "chunk_id long, ticker string")
+    listed = metrics.question_metrics(hits, q.join(p, "ticker"), 2)
+    assert rows(metrics.question_metrics_by(hits, q, p, "ticker", 2)) == rows(listed)
