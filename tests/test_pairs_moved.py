@@ -43,6 +43,7 @@ MOST = {
     "round_robin_merge": 1_000_000,
     "rerank_pool": 1_000_000,
     "retrieval_metrics": 1_000_000,
+    "metric_means": 1_000_000,
 }
 
 
