@@ -44,6 +44,7 @@ MOST = {
     "rerank_pool": 1_000_000,
     "retrieval_metrics": 1_000_000,
     "metric_means": 1_000_000,
+    "saved_benchmark_metrics": 1_000_000,
 }
 
 
