@@ -47,6 +47,7 @@ MOST = {
     "saved_benchmark_metrics": 1_000_000,
     "contingency_2x2": 1_000_000,
     "paired_comparison": 1_000_000,
+    "comparison_overlap": 1_000_000,
 }
 
 
