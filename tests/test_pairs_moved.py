@@ -48,6 +48,7 @@ MOST = {
     "contingency_2x2": 1_000_000,
     "paired_comparison": 1_000_000,
     "comparison_overlap": 1_000_000,
+    "ranking_prefixes": 1_000_000,
 }
 
 
