@@ -9,6 +9,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,22 @@ def hashed_vectors(docs: DataFrame, text: str, keep: list[str], width: int = 64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], [*batch.schema.names[:-1], "embedding"])
 
     return spread(src).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", embedding array<float>")
+
+
+def hashed_counts(passages: DataFrame, keep: list[str], width: int = 64) -> DataFrame:
+    """hashed_vectors of passages whose words are counted already, as an index holds them in ``tokens`` and ``tfs``: no text is read again."""
+    src = passages.select(*keep, "tokens", "tfs")
+    kinds = dict(src.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column(batch.num_columns - 2), batch.num_rows
+            words = lists.flatten().dictionary_encode()
+            places = [_place(word, width) for word in words.dictionary.to_pylist()]
+            at, by = np.array([p[0] for p in places], dtype=np.int64), np.array([p[1] for p in places])
+            code, row = words.indices.to_numpy(), np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+            out = np.bincount(row * width + at[code], by[code] * batch.column(batch.num_columns - 1).flatten().to_numpy(), n * width).astype(np.float32) if len(code) else np.zeros(n * width, dtype=np.float32)
+            ends = pa.array(np.arange(0, out.size + 1, width, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.ListArray.from_arrays(ends, pa.array(out))], [*batch.schema.names[:-2], "embedding"])
+
+    return spread(src).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", embedding array<float>")

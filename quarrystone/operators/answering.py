@@ -17,8 +17,10 @@ def prompts(questions: DataFrame, hits: DataFrame) -> DataFrame:
 
     Questions without hits get a prompt without sources; a passage given twice counts once.
     """
-    once = hits.groupBy("qid", "chunk_id").agg(F.min(F.struct("rank", "company", "ticker", "fiscal_year", "item", "title", "content_type", "text")).alias("h"))
-    listed = once.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("h.rank").alias("rank"), "chunk_id", "h"))).alias("s"))
+    h = F.struct("company", "ticker", "fiscal_year", "item", "title", "content_type", "text").alias("h")
+    every = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", h))).alias("every"))
+    ids = F.transform("every", lambda x: x["chunk_id"])
+    listed = every.select("qid", F.filter("every", lambda x, i: F.array_position(ids, x["chunk_id"]) == i + 1).alias("s"))
     s = lambda c: F.coalesce(c.cast("string"), F.lit(""))
 
     def source(x: Column, i: Column) -> Column:
