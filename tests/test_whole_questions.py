@@ -30,3 +30,11 @@ def folder(spark, tmp_path_factory):
 def test_routes_count_every_question(spark, folder):
     got = {(r.route, r.reason): (r.n, r.n_split) for r in entry.queries()["answer_routes"](spark, folder).collect()}
     assert got == {("search", None): (4, 1), ("refused", "request"): (1, 0), ("facts", None): (1, 0)}
+
+
+def test_every_question_is_answered(spark, folder, monkeypatch):
+    monkeypatch.setattr("quarrystone.plans.answers.MOST_SENT", 1)  # texts are shuffled, not met where they lie
+    got = {r.qid: r for r in entry.queries()["answered_questions"](spark, folder).collect()}
+    assert sorted(got) == [7, 50, 51, 52, 99, 101]
+    assert got[7].answer == "Alpha sells pumps. [1]" and got[50].answer == "Beta sells pipes. [1]" and got[50].n_sources == 1
+    assert got[52].answer == "Reported: $1,500." and got[99].parts == ["ALP FY2021", "BET FY2021"] and got[101].n_sources == 3
